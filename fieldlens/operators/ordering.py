@@ -9,7 +9,7 @@ Two recipes, both in three steps (bucket totals, offsets over the small bucket t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,12 @@ def hash_bucket(hashed: Column, digits: int = 3) -> Column:
     return F.substring(hashed, 1, digits)
 
 
+def bucket_totals(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Rows per key and bucket, the small table that offsets come from."""
+    keyed = df.dropna(subset=list(keys)) if keys else df
+    return keyed.groupBy(*keys, bucket.alias("_b")).agg(F.count("*").alias("_cnt"))
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,28 +41,31 @@ def ranked(
     bucket: Column,
     rank_col: str = "rank",
     size_col: str | None = None,
-    per_key: DataFrame | None = None,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """1-based row number per key group in ``order``; ``bucket`` must be monotone with ``order``.
 
-    Rows with a null key are dropped, as a group-by on the key would. ``per_key`` (one row per key) rides on
-    the offset table, so a hot key is never joined by itself.
+    Rows with a null key are dropped, as a group-by on the key would. ``attach`` adds per-key columns to the
+    offset table (columns ``keys``, ``_b``, ``_cnt``), so a hot key is never joined by itself. ``totals`` takes
+    a ``bucket_totals`` table that is already there.
     """
     keys = list(keys)
     base = df.withColumn("_b", bucket)
     if keys:
         base = base.dropna(subset=keys)
-    totals = base.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    if totals is None:
+        totals = bucket_totals(df, keys, bucket)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     if size_col:
-        offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*keys)))
-    if per_key is not None:
-        offsets = offsets.join(per_key, keys, "inner")
+        offsets = offsets.withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*keys)))
+    if attach is not None:
+        offsets = attach(offsets)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     return (
         base.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets.drop("_n"), [*keys, "_b"])
+        .join(offsets.drop("_cnt"), [*keys, "_b"])
         .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))
         .drop("_b", "_off", "_rn")
     )
