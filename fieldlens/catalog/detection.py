@@ -213,10 +213,11 @@ FRAMES = with_views("frame_boxes", recursive=True) + f""",
 ASSIGN = FRAMES + """,
  idx_ AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY deployment, frame ORDER BY cur) AS k FROM cost_),
  dim_ AS MATERIALIZED (SELECT deployment, frame, count(DISTINCT cur) AS n, count(DISTINCT prev) AS m FROM cost_ GROUP BY 1, 2),
+ opt_ AS MATERIALIZED (SELECT deployment, frame, k, prev, cost FROM idx_ UNION ALL SELECT DISTINCT deployment, frame, k, -1, 0 FROM idx_),
  walk_ AS (SELECT deployment, frame, n, greatest(n - m, 0) AS skips, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS prevs, 0e0 AS total FROM dim_
-   UNION ALL SELECT w.deployment, w.frame, w.n, w.skips, w.k + 1, list_append(w.prevs, i.prev), w.total + i.cost FROM walk_ w JOIN idx_ i
-     ON i.deployment = w.deployment AND i.frame = w.frame AND i.k = w.k + 1 AND NOT list_contains(w.prevs, i.prev)
-   UNION ALL SELECT w.deployment, w.frame, w.n, w.skips - 1, w.k + 1, list_append(w.prevs, -1), w.total FROM walk_ w WHERE w.skips > 0 AND w.k < w.n),
+   UNION ALL SELECT w.deployment, w.frame, w.n, CASE WHEN o.prev = -1 THEN w.skips - 1 ELSE w.skips END, w.k + 1, list_append(w.prevs, o.prev), w.total + o.cost
+   FROM walk_ w JOIN opt_ o ON o.deployment = w.deployment AND o.frame = w.frame AND o.k = w.k + 1
+     AND ((o.prev = -1 AND w.skips > 0) OR (o.prev <> -1 AND NOT list_contains(w.prevs, o.prev)))),
  best_ AS MATERIALIZED (SELECT deployment, frame, arg_min(prevs, total) AS prevs FROM walk_ WHERE k = n AND skips = 0 GROUP BY 1, 2),
  link_ AS MATERIALIZED (SELECT i.deployment, i.frame, i.cur, i.prev, i.cost FROM best_ b JOIN idx_ i ON i.deployment = b.deployment AND i.frame = b.frame AND b.prevs[i.k] = i.prev)"""
 

@@ -23,10 +23,10 @@ def cumcount(
 ) -> DataFrame:
     """0-based position of each image within its occurrence, in file order.
 
-    ``order`` defaults to the scan's ``row_order`` id, whose high bits (the scan partition) are the bucket.
+    ``order`` defaults to the scan's ``row_order`` (file, block, line), bucketed by file block.
     """
     order = order or [F.col("row_order")]
-    bucket = bucket if bucket is not None else F.shiftright(F.col("row_order"), 33)
+    bucket = bucket if bucket is not None else F.struct(F.col("row_order.file"), F.col("row_order.block"))
     out = ranked(media, [key], order, bucket, "_r")
     return out.withColumn("cnt", F.col("_r") - 1).drop("_r")
 

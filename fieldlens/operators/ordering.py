@@ -28,10 +28,11 @@ def hash_bucket(hashed: Column, digits: int = 3) -> Column:
     return F.substring(hashed, 1, digits)
 
 
-def bucket_totals(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
-    """Rows per key and bucket, the small table that offsets come from."""
+def bucket_totals(df: DataFrame, keys: Sequence[str], bucket: Column, amount: Column | None = None) -> DataFrame:
+    """Rows (or summed ``amount``) per key and bucket, the small table that offsets come from."""
     keyed = df.dropna(subset=list(keys)) if keys else df
-    return keyed.groupBy(*keys, bucket.alias("_b")).agg(F.count("*").alias("_cnt"))
+    total = F.count("*") if amount is None else F.sum(amount)
+    return keyed.groupBy(*keys, bucket.alias("_b")).agg(total.alias("_cnt"))
 
 
 def ranked(
@@ -43,9 +44,12 @@ def ranked(
     size_col: str | None = None,
     attach: Callable[[DataFrame], DataFrame] | None = None,
     totals: DataFrame | None = None,
+    amount: Column | None = None,
 ) -> DataFrame:
     """1-based row number per key group in ``order``; ``bucket`` must be monotone with ``order``.
 
+    With ``amount`` the running total of that column, own row included, takes the place of the row number.
+
     Rows with a null key are dropped, as a group-by on the key would. ``attach`` adds per-key columns to the
     offset table (columns ``keys``, ``_b``, ``_cnt``), so a hot key is never joined by itself. ``totals`` takes
     a ``bucket_totals`` table that is already there.
@@ -55,7 +59,7 @@ def ranked(
     if keys:
         base = base.dropna(subset=keys)
     if totals is None:
-        totals = bucket_totals(df, keys, bucket)
+        totals = bucket_totals(df, keys, bucket, amount)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     if size_col:
@@ -63,8 +67,12 @@ def ranked(
     if attach is not None:
         offsets = attach(offsets)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    if amount is None:
+        within = F.row_number().over(inside)
+    else:
+        within = F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        base.withColumn("_rn", F.row_number().over(inside))
+        base.withColumn("_rn", within)
         .join(offsets.drop("_cnt"), [*keys, "_b"])
         .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))
         .drop("_b", "_off", "_rn")

@@ -83,8 +83,7 @@ def solve_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if flipped else pairs
 
 
-@pandas_udf("array<struct<cur:bigint,prev:bigint,cost:double>>")
-def _assign(frames: pd.Series) -> pd.Series:
+def _assign_frames(frames: pd.Series) -> pd.Series:
     out = []
     for pairs in frames:
         cur = sorted({p["cur"] for p in pairs})
@@ -99,8 +98,9 @@ def _assign(frames: pd.Series) -> pd.Series:
 
 def frame_assignment(pairs: DataFrame, cost_threshold: float = 10000.0) -> DataFrame:
     """Links of the cheapest one-to-one assignment per frame pair; a link at or above the threshold is cut."""
+    assign = pandas_udf(_assign_frames, "array<struct<cur:bigint,prev:bigint,cost:double>>")
     packed = pairs.groupBy("deployment", "frame").agg(F.collect_list(F.struct("cur", "prev", "cost")).alias("_p"))
-    links = packed.select("deployment", "frame", F.explode(_assign("_p")).alias("l")).select("deployment", "frame", "l.*")
+    links = packed.select("deployment", "frame", F.explode(assign("_p")).alias("l")).select("deployment", "frame", "l.*")
     return links.filter(F.col("cost") < cost_threshold)
 
 
