@@ -37,7 +37,7 @@ def occurrence_media_join(t):
 @query("cumcount", with_views("media") + """
 SELECT coreid, ord, row_number() OVER (PARTITION BY coreid ORDER BY ord) - 1 AS cnt FROM media""")
 def cumcount(t):
-    return joins.cumcount(t.media, order=[F.col("ord")], bucket=hash_bucket(F.col("ord"), 2)).select("coreid", "ord", "cnt")
+    return joins.cumcount(t.media, order=[F.col("ord")], bucket=hash_bucket(F.col("ord"))).select("coreid", "ord", "cnt")
 
 
 @query("image_path", IMAGES + "SELECT coreid, cnt, image_path FROM images")

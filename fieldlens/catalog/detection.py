@@ -244,13 +244,13 @@ def tracking_cost(t):
     return tracking.frame_pairs(_frames(t)).withColumn("cost", F.round("cost", 6))
 
 
-@query("frame_assignment", ASSIGN + "SELECT deployment, frame, cur, prev, round(cost, 6) AS cost FROM link_ WHERE cost < 1.2e0")
+@query("frame_assignment", ASSIGN + "SELECT deployment, frame, cur, prev, round(cost, 6) AS cost FROM link_")
 def frame_assignment(t):
-    return tracking.frame_assignment(tracking.frame_pairs(_frames(t)), 1.2).withColumn("cost", F.round("cost", 6))
+    return tracking.frame_assignment(tracking.frame_pairs(_frames(t))).withColumn("cost", F.round("cost", 6))
 
 
 @query("track_ids", ASSIGN + """,
- up_ AS (SELECT * FROM link_ WHERE cost < 1.2e0),
+ up_ AS (SELECT * FROM link_ WHERE cost < 1.7e0),
  chain_ AS (SELECT deployment, box_id, box_id AS root FROM f_ WHERE box_id NOT IN (SELECT cur FROM up_)
    UNION ALL SELECT c.deployment, u.cur, c.root FROM chain_ c JOIN up_ u ON u.deployment = c.deployment AND u.prev = c.box_id),
  num_ AS (SELECT root, row_number() OVER (PARTITION BY r.deployment ORDER BY f.frame, root) AS track_id FROM (SELECT DISTINCT deployment, root FROM chain_) r JOIN f_ f ON f.box_id = root)
@@ -259,7 +259,7 @@ SELECT b.deployment, b.frame, b.box_id, coalesce(CAST(n.track_id AS VARCHAR), 'N
 FROM frame_boxes b LEFT JOIN chain_ c ON c.box_id = b.box_id LEFT JOIN num_ n ON n.root = c.root LEFT JOIN up_ u ON u.cur = b.box_id LEFT JOIN f_ p ON p.box_id = u.prev""")
 def track_ids(t):
     boxes = _frames(t)
-    links = tracking.frame_assignment(tracking.frame_pairs(boxes), 1.2)
+    links = tracking.frame_assignment(tracking.frame_pairs(boxes), 1.7)
     out = tracking.export_tracks(tracking.track_ids(boxes, links))
     return out.select("deployment", "frame", "box_id", "track_id", "centre_x", "centre_y", "prev_x", "prev_y")
 

@@ -111,19 +111,22 @@ LINES = ITEMS + CATEGORIES + """,
    FROM labels_ l JOIN cat_ c ON c.name = l.name JOIN annotation_tasks t ON t.conv_id = l.conv_id)"""
 
 
-@query("yolo_label_sink", LINES + "SELECT conv_id AS task_id, image, pos, line FROM lines_")
+@query("yolo_label_sink", LINES + """,
+ last_ AS (SELECT image, max(conv_id) AS conv_id FROM lines_ GROUP BY image)
+SELECT l.image, string_agg(l.line || chr(10), '' ORDER BY l.pos) AS content FROM lines_ l JOIN last_ USING (image, conv_id) GROUP BY l.image""")
 def yolo_label_sink(t):
     labels = _labels(t).withColumn("image", names.file_stem("image"))
-    return annotations.yolo_lines(labels, checklists.category_map(labels, "label"))
+    return annotations.yolo_files(annotations.yolo_lines(labels, checklists.category_map(labels, "label")))
 
 
-@query("yolo_label_scan", LINES + """
-SELECT image, CAST(split_part(line, ' ', 1) AS INTEGER) AS class_id, CAST(split_part(line, ' ', 2) AS DOUBLE) AS xc, CAST(split_part(line, ' ', 3) AS DOUBLE) AS yc,
- CAST(split_part(line, ' ', 4) AS DOUBLE) AS w, CAST(split_part(line, ' ', 5) AS DOUBLE) AS h FROM lines_""")
+@query("yolo_label_scan", LINES + """,
+ last_ AS (SELECT image, max(conv_id) AS conv_id FROM lines_ GROUP BY image)
+SELECT l.image, CAST(split_part(line, ' ', 1) AS INTEGER) AS class_id, CAST(split_part(line, ' ', 2) AS DOUBLE) AS xc, CAST(split_part(line, ' ', 3) AS DOUBLE) AS yc,
+ CAST(split_part(line, ' ', 4) AS DOUBLE) AS w, CAST(split_part(line, ' ', 5) AS DOUBLE) AS h FROM lines_ l JOIN last_ USING (image, conv_id)""")
 def yolo_label_scan(t):
-    path = work_dir(t.spark, "yolo")
-    documents.yolo_label_sink(yolo_label_sink(t), path)
-    return documents.yolo_label_scan(t.spark, path)
+    root = work_dir(t.spark, "yolo")
+    documents.yolo_label_sink(yolo_label_sink(t), root)
+    return documents.yolo_label_scan(t.spark, root)
 
 
 @query("annotation_statistics", ITEMS + """,

@@ -79,6 +79,13 @@ def yolo_lines(labels: DataFrame, categories: DataFrame) -> DataFrame:
     return joined.select("task_id", "image", "pos", line.alias("line"))
 
 
+def yolo_files(lines: DataFrame, order: str = "task_id") -> DataFrame:
+    """(image, content): one label text per photograph; of two tasks for one photograph the later one stays."""
+    per_task = lines.groupBy("image", order).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_l"))
+    text = F.concat(F.array_join(F.col("_l.line"), "\n"), F.lit("\n"))
+    return per_task.groupBy("image").agg(F.max_by(text, order).alias("content"))
+
+
 def yolo_boxes(labels: DataFrame) -> DataFrame:
     return labels.select("*", *bx.percent_to_yolo())
 

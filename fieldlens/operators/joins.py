@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators.ordering import ranked
@@ -18,17 +18,59 @@ def occurrence_media_join(media: DataFrame, occurrence: DataFrame) -> DataFrame:
     return media.join(occurrence, media["coreid"] == occurrence["id"], "inner")
 
 
+# a key with more rows than this is ranked in pieces; everything else is one ordinary window group
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows. There are at most rows / hot_rows of them, so the list is broadcast."""
+    crowded = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
+    return F.broadcast(crowded)
+
+
+def _positions(key: str, order: Sequence[Column]) -> Column:
+    return (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
+
+
+def _scan_order(order: Sequence[Column] | None, bucket: Column | None) -> tuple[Sequence[Column], Column]:
+    """Defaults to the scan's ``row_order`` (file, block, line), bucketed by file block."""
+    if bucket is None:
+        bucket = F.struct(F.col("row_order.file"), F.col("row_order.block"))
+    return order or [F.col("row_order")], bucket
+
+
+def _piecewise(df: DataFrame, key: str, order: Sequence[Column], bucket: Column) -> DataFrame:
+    return ranked(df, [key], order, bucket, "_r").withColumn("cnt", F.col("_r") - 1).drop("_r")
+
+
 def cumcount(
-    media: DataFrame, key: str = "coreid", order: Sequence[Column] | None = None, bucket: Column | None = None
+    media: DataFrame, key: str = "coreid", order: Sequence[Column] | None = None, bucket: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """0-based position of each image within its occurrence, in file order."""
+    order, bucket = _scan_order(order, bucket)
+    hot = hot_keys(media, key, hot_rows)
+    rest = media.dropna(subset=[key]).join(hot, key, "left_anti").withColumn("cnt", _positions(key, order))
+    return rest.unionByName(_piecewise(media.join(hot, key, "left_semi"), key, order, bucket))
+
+
+def indexed_images(
+    media: DataFrame, occurrence: DataFrame, order: Sequence[Column] | None = None, bucket: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """0-based position of each image within its occurrence, in file order.
+    """Media joined to occurrences with ``cnt``, the position within the occurrence.
 
-    ``order`` defaults to the scan's ``row_order`` (file, block, line), bucketed by file block.
+    The join and the window share one shuffle on the occurrence id. Occurrences with very many images take
+    the other branch: their few occurrence rows meet the images without a shuffle and positions are made in
+    pieces. Without such occurrences that branch is empty at run time and is dropped.
     """
-    order = order or [F.col("row_order")]
-    bucket = bucket if bucket is not None else F.struct(F.col("row_order.file"), F.col("row_order.block"))
-    out = ranked(media, [key], order, bucket, "_r")
-    return out.withColumn("cnt", F.col("_r") - 1).drop("_r")
+    order, bucket = _scan_order(order, bucket)
+    hot = hot_keys(media, "coreid", hot_rows)
+    rest = occurrence_media_join(media.join(hot, "coreid", "left_anti"), occurrence)
+    rest = rest.withColumn("cnt", _positions("coreid", order))
+    crowded = _piecewise(media.join(hot, "coreid", "left_semi"), "coreid", order, bucket)
+    owners = occurrence.join(hot, occurrence["id"] == hot["coreid"], "left_semi")
+    return rest.unionByName(occurrence_media_join(crowded, owners))
 
 
 def first_per_occurrence(df: DataFrame, order: str | Column = "row_order", key: str = "coreid") -> DataFrame:

@@ -134,9 +134,10 @@ def suffix_max(df: DataFrame, keys: Sequence[str], value: str, out_col: str) ->
     """Running maximum from the end of each key group over rows placed by ``running_sums``."""
     keys = list(keys)
     peaks = df.groupBy(*keys, "_part").agg(F.max(value).alias("_m"))
-    after = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    # read backwards: a frame that only grows is one pass, one that shrinks is recomputed for every row
+    after = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     later = peaks.select(*keys, "_part", F.max("_m").over(after).alias("_later"))
-    inside = Window.partitionBy(*keys, "_part").orderBy("_pos").rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.withColumn("_own", F.max(value).over(inside))
         .join(later, [*keys, "_part"])

@@ -13,10 +13,10 @@ from fieldlens.operators.ordering import hash_bucket
 def image_metadata(media: DataFrame, occurrence: DataFrame) -> DataFrame:
     """One row per image with its occurrence, index within it and path."""
     if "ord" in media.columns:
-        counted = joins.cumcount(media, order=[F.col("ord")], bucket=hash_bucket(F.col("ord"), 2))
+        rows = joins.indexed_images(media, occurrence, [F.col("ord")], hash_bucket(F.col("ord")))
     else:
-        counted = joins.cumcount(media)
-    return joins.occurrence_media_join(counted, occurrence).withColumn("image_path", image_path())
+        rows = joins.indexed_images(media, occurrence)
+    return rows.withColumn("image_path", image_path())
 
 
 def verified_metadata(images: DataFrame, verified: DataFrame, predictions: DataFrame | None) -> DataFrame:

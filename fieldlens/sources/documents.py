@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.schemas import ANNOTATION_TASK
+from fieldlens.sources.jobs import write_files
 
 
 def map_rows(df: DataFrame, column: str, value_type: str = "string", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -66,18 +67,17 @@ def write_prediction_json(nested: DataFrame, path: str) -> None:
 
 
 def yolo_label_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of ``id x y w h`` text files; the image is the ``image=`` folder or else the file name."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("f"))
-    folder = F.regexp_extract("f", "/image=([^/]+)/", 1)
-    stem = F.regexp_replace(F.element_at(F.split("f", "/"), -1), r"\.[^.]*$", "")
+    """Boxes of ``id x y w h`` text files, the image being the file name."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_name").alias("f"))
     parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.filter(F.trim("value") != "").select(F.when(folder != "", F.url_decode(folder)).otherwise(stem).alias("image"), parts.alias("p"))
+    rows = lines.filter(F.trim("value") != "").select(F.regexp_replace("f", r"\.[^.]*$", "").alias("image"), parts.alias("p"))
     return rows.select(
         "image", F.col("p")[0].cast("int").alias("class_id"),
         *[F.col("p")[i].cast("double").alias(n) for i, n in enumerate(("xc", "yc", "w", "h"), start=1)],
     )
 
 
-def yolo_label_sink(lines: DataFrame, path: str) -> None:
-    """One folder of text per image; rows are streamed to the files, never gathered."""
-    lines.select("image", F.col("line").alias("value")).write.partitionBy("image").text(path)
+def yolo_label_sink(texts: DataFrame, root: str) -> int:
+    """``<image>.txt`` per photograph below ``root``; returns the number of files."""
+    rows = texts.select(F.concat("image", F.lit(".txt")).alias("path"), F.encode("content", "UTF-8").alias("content"))
+    return write_files(rows, root, "path", "content")
