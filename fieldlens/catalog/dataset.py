@@ -24,6 +24,7 @@ RULES = CLEAN_INPUT + """,
 
 
 def _rows(t):
+    t = t.frozen()
     return dataset.verified_metadata(t.images, t.verified, t.lifestage_predictions)
 
 
@@ -116,6 +117,7 @@ def null_lifestage_filter(t):
 @query("verified_join", with_views("images", "verified") + """
 SELECT v.image_path, v.width, v.height, i.identifier, i.acceptedTaxonKey FROM verified v JOIN images i ON v.image_path = i.image_path""")
 def verified_join(t):
+    t = t.frozen()
     return joins.verified_join(t.verified, t.images).select("image_path", "width", "height", "identifier", "acceptedTaxonKey")
 
 
@@ -127,6 +129,7 @@ def lifestage_join(t):
 @query("resume_anti_join", with_views("images", "verified") + """
 SELECT i.image_path, v.width, v.image_path IS NOT NULL AS done FROM images i LEFT JOIN verified v ON v.image_path = i.image_path""")
 def resume_anti_join(t):
+    t = t.frozen()
     todo, done = joins.resume_anti_join(t.images.select("image_path"), t.verified)
     return (
         done.select("image_path", "width", F.lit(True).alias("done"))
@@ -138,6 +141,7 @@ def resume_anti_join(t):
 SELECT i.image_path, CASE WHEN v.image_path IS NOT NULL THEN 'present' WHEN i.l_suppkey % 3 = 0 THEN 'cached' ELSE 'fetch' END AS state
 FROM images i LEFT JOIN verified v ON v.image_path = i.image_path""")
 def missing_file_anti_join(t):
+    t = t.frozen()
     cached = t.images.filter("l_suppkey % 3 = 0")
     return joins.missing_file_anti_join(t.images.select("image_path"), t.verified, cached)
 

@@ -5,11 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlens.session import ensure_checkpoint_dir
+
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# declared, so that no query pays for reading footers to learn them
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "media": (("lineitem",), """
         SELECT l_orderkey AS coreid,
@@ -192,13 +214,14 @@ def with_views(*names: str, recursive: bool = False) -> str:
 class Tables:
     """Given tables and fixture views of one scale-factor folder as DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, images: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._images = images
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         if name in _VIEWS:
             return self._view(name)
         raise AttributeError(name)
@@ -206,16 +229,24 @@ class Tables:
     def _view(self, name: str) -> DataFrame:
         needed = _closure((name,), _VIEWS)
         bases = sorted({d for n in needed for d in _VIEWS[n][0] if d in BASE})
-        parts = [f"{b} AS (SELECT * FROM parquet.`{self.sf_dir}/{b}.parquet`)" for b in bases]
+        parts = [f"{b} AS (SELECT * FROM {{{b}}})" for b in bases]
         parts += [f"{n} AS ({_VIEWS[n][1]})" for n in needed]
-        return self.spark.sql("WITH " + ",\n".join(parts) + f" SELECT * FROM {name}")
+        text = "WITH " + ",\n".join(parts) + f" SELECT * FROM {name}"
+        return self.spark.sql(text, **{b: getattr(self, b) for b in bases})
 
     @property
     def images(self) -> DataFrame:
         from fieldlens.plans.dataset import image_metadata
 
+        if self._images is not None:
+            return self._images
         return image_metadata(self.media, self.occurrence)
 
+    def frozen(self) -> Tables:
+        """The same tables with the image metadata written once, for queries that read it several times."""
+        ensure_checkpoint_dir(self.spark)
+        return Tables(self.spark, self.sf_dir, self.images.checkpoint())
+
     @property
     def verified(self) -> DataFrame:
         return self.images.filter((F.col("l_suppkey") % 10 != 0) & F.col("datasetKey").isNotNull()).select(
@@ -236,8 +267,8 @@ class Tables:
 
     @property
     def logits(self) -> DataFrame:
-        text = _LOGITS_SPARK.replace("FROM embeddings", f"FROM parquet.`{self.sf_dir}/embeddings.parquet`")
-        return self.spark.sql(text)
+        text = _LOGITS_SPARK.replace("FROM embeddings", "FROM {embeddings}")
+        return self.spark.sql(text, embeddings=self.embeddings)
 
     @property
     def tasks(self) -> DataFrame:
