@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import boxes as bx
@@ -164,17 +164,19 @@ def operating_point(curve: DataFrame, score: float) -> DataFrame:
     )
 
 
-def topk_boxes(preds: DataFrame, score_thr: float, max_boxes: int, by: Sequence[str] = ("image",)) -> DataFrame:
-    """The ``max_boxes`` best boxes per image above a score, whole-pixel corners.
+def best_boxes(preds: DataFrame, max_boxes: int, by: Sequence[str] = ("image",)) -> DataFrame:
+    """The ``max_boxes`` best boxes per image, lower id first on ties.
 
     A rank filter with a constant limit is cut per map task before the shuffle, so a crowded image sends at
     most ``max_boxes`` rows from each task.
     """
-    from pyspark.sql import Window
-
-    kept = preds.filter(F.col("score") > score_thr)
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "box_id")
-    best = kept.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_boxes).drop("_r")
+    return preds.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_boxes).drop("_r")
+
+
+def topk_boxes(preds: DataFrame, score_thr: float, max_boxes: int, by: Sequence[str] = ("image",)) -> DataFrame:
+    """Best boxes above a score, with whole-pixel corners."""
+    best = best_boxes(preds.filter(F.col("score") > score_thr), max_boxes, by)
     return best.select(*[F.round(c).cast("int").alias(c) if c in COORDS else F.col(c) for c in best.columns])
 
 
@@ -186,10 +188,9 @@ def mean_average_precision(
     The k-th true positive answers the recall points j/100 in ((k-1)/n, k/n], so the 101-point mean is a
     weighted sum over true positives.
     """
-    thresholds = [0.5 + 0.05 * i for i in range(10)]
-    thresholds = [round(t, 2) for t in thresholds]
+    thresholds = [round(0.5 + 0.05 * i, 2) for i in range(10)]
     by, group = ("image", label), (label,)
-    top = topk_boxes_unrounded(detections, max_boxes, by)
+    top = best_boxes(detections, max_boxes, by)
     matches = match_detections(top, truths, thresholds, by)
     counts = truths.groupBy(label).agg(F.count("*").alias("n_gt"))
     curve = _curve(top, matches, counts, thresholds, by, group)
@@ -206,13 +207,6 @@ def mean_average_precision(
     )
 
 
-def topk_boxes_unrounded(preds: DataFrame, max_boxes: int, by: Sequence[str]) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "box_id")
-    return preds.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_boxes).drop("_r")
-
-
 def best_detection(detections: DataFrame, image: str = "image") -> DataFrame:
     """Highest confidence box per image, first one on ties; boxes without confidence never win."""
     usable = detections.filter(F.col("conf") > 0)
@@ -226,11 +220,7 @@ def nested_regroup(boxes: DataFrame, chunk: int = 10_000) -> DataFrame:
     An image with more than ``chunk`` boxes continues in further rows (``part`` 0, 1, ...), so no array and
     no task has to hold an unbounded image.
     """
-    from fieldlens.operators.ordering import ranked
-
-    # scores lie in 0..1: falling 1/1000 score bands are monotone with the order
-    band = F.floor((1 - F.col("score")) * 1000)
-    placed = ranked(boxes, ["image"], [F.desc("score"), F.col("box_id")], band, "_r")
+    placed = running_sums(boxes, ["image"], [F.desc("score"), F.col("box_id")], {"_r": F.lit(1)})
     item = F.struct(
         F.col("_r"), F.array(*COORDS).alias("box"), F.col("label"), F.col("score")
     )

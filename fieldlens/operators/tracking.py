@@ -112,6 +112,7 @@ def track_ids(boxes: DataFrame, links: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(boxes.sparkSession)
     key = "deployment"
+    links = links.checkpoint()
     parent = links.select(key, F.col("cur").alias("box_id"), F.col("prev").alias("parent"))
     moths = boxes.filter(F.col("class") == "moth").select(key, "box_id")
     linked = moths.join(parent, [key, "box_id"], "left")

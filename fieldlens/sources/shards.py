@@ -53,7 +53,7 @@ def webdataset_sink(
     ensure_checkpoint_dir(rows.sparkSession)
     placed = assign_shards(rows, size, key, max_shard_size, seed)
     cols = [c for c in ("shard", "_h", key, label, payload, image_path, metadata) if c]
-    laid = placed.select(*cols).repartitionByRange("shard").sortWithinPartitions("shard", "_h")
+    laid = placed.select(*cols).repartition("shard").sortWithinPartitions("shard", "_h")
     out_uri, source_uri = out_dir.rstrip("/"), (dataset_path or "").rstrip("/")
 
     def add(tar: tarfile.TarFile, member: str, data: bytes) -> int:
