@@ -45,15 +45,15 @@ def scanned_images(images: DataFrame, root: str) -> DataFrame:
 def image_info(planned: DataFrame, root: str) -> DataFrame:
     """Width, height, time, size and corrupted flag of planned images; all null for a missing file.
 
-    One decoding scan; only planned paths it did not list are looked at one by one, to tell empty files
-    (corrupted) from missing ones.
+    One decoding scan; only planned paths that no listing shows are looked at one by one, to tell empty files
+    (corrupted) from missing ones. Freeze the result before files change: it is read again on every use.
     """
     spark = planned.sparkSession
     scan = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(root)
     seen = scanned_images(scan, root)
     paths = planned.select("image_path").distinct()
     hit = paths.join(seen, "image_path")
-    unlisted = paths.join(seen.select("image_path"), "image_path", "left_anti")
+    unlisted = paths.join(listing(spark, root).select("image_path"), "image_path", "left_anti")
     base_uri = root.rstrip("/")
 
     def stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
