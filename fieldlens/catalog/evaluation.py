@@ -18,7 +18,7 @@ EVAL = RANKED + """,
 CROPS = with_views("crop_labels", "images", "taxonomy") + """,
  p_ AS MATERIALIZED (SELECT label AS gt, CASE WHEN crop_id % 4 = 0 THEN 'species 0' WHEN crop_id % 7 = 0 AND acceptedTaxonKey % 3 = 0 THEN concat('syn ', label) ELSE label END AS pred
         FROM crop_labels WHERE taxon_rank = 'SPECIES'),
- n_ AS (SELECT x.species AS gt, count(i.acceptedTaxonKey) AS n_train FROM taxonomy x LEFT JOIN (SELECT * FROM images WHERE coreid % 5 = 0) i ON i.acceptedTaxonKey = x.speciesKey GROUP BY 1),
+ n_ AS (SELECT x.species AS gt, count(i.acceptedTaxonKey) AS n_train FROM taxonomy x LEFT JOIN images i ON i.acceptedTaxonKey = x.speciesKey GROUP BY 1),
  a_ AS (SELECT gt, count(CASE WHEN gt = pred THEN 1 END) AS correct, count(*) AS total FROM p_ GROUP BY gt),
  j_ AS (SELECT a_.*, n_.n_train, round(correct / total * 100, 2) AS acc FROM a_ JOIN n_ ON n_.gt = a_.gt)"""
 
@@ -37,7 +37,7 @@ def _crop_preds(t):
 
 
 def _train_counts(t):
-    per_key = t.images.filter("coreid % 5 = 0").groupBy(F.col("acceptedTaxonKey").alias("speciesKey")).agg(F.count("*").alias("n"))
+    per_key = t.images.groupBy(F.col("acceptedTaxonKey").alias("speciesKey")).agg(F.count("*").alias("n"))
     return t.taxonomy.join(per_key, "speciesKey", "left").select(F.col("species").alias("gt"), F.coalesce("n", F.lit(0)).alias("n_train"))
 
 
@@ -229,14 +229,13 @@ def tune_temperature(t):
 
 
 @query("batch_score", """
-WITH known_ AS MATERIALIZED (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings
-   WHERE vec_id % 4 <> 0) q GROUP BY label, i),
- new_ AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 4 = 0),
- d_ AS (SELECT n.vec_id, k.label, sum(n.v * k.m) - 0.5e0 * sum(k.m * k.m) AS s FROM new_ n JOIN known_ k ON k.i = n.i GROUP BY n.vec_id, k.label)
-SELECT vec_id, CASE WHEN vec_id % 12 = 0 THEN 'earlier' ELSE CAST(label AS VARCHAR) END AS prediction
-FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM d_) q WHERE r = 1""")
+WITH known_ AS MATERIALIZED (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) q
+   GROUP BY label, i),
+ new_ AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+ d_ AS (SELECT n.vec_id, k.label, sum(n.v * k.m) - 0.5e0 * sum(k.m * k.m) AS s FROM new_ n JOIN known_ k ON k.i = n.i GROUP BY n.vec_id, k.label),
+ b_ AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM d_)
+SELECT e.vec_id, CASE WHEN e.label = 0 THEN 'earlier' ELSE CAST(b_.label AS VARCHAR) END AS prediction FROM b_ JOIN embeddings e ON e.vec_id = b_.vec_id WHERE r = 1""")
 def batch_score(t):
-    head = scoring.LinearHead.from_centroids(t.embeddings.filter("vec_id % 4 <> 0"), "embedding", "label")
-    unlabelled = t.embeddings.filter("vec_id % 4 = 0")
-    earlier = unlabelled.filter("vec_id % 12 = 0").select("vec_id", F.lit("earlier").alias("prediction"))
-    return scoring.append_scores(earlier, scoring.batch_score(unlabelled, head, "vec_id", "embedding"), "vec_id")
+    head = scoring.LinearHead.from_centroids(t.embeddings, "embedding", "label")
+    earlier = t.embeddings.filter("label = 0").select("vec_id", F.lit("earlier").alias("prediction"))
+    return scoring.append_scores(earlier, scoring.batch_score(t.embeddings, head, "vec_id", "embedding"), "vec_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldlens.catalog import query
 from fieldlens.operators import sampling
 from fieldlens.plans.fixtures import with_views
+from fieldlens.session import materialized
 
 IMAGES = with_views("images")
 HASHED = IMAGES + """,
@@ -40,7 +41,7 @@ def _split(t):
 SELECT image_path, acceptedTaxonKey FROM (SELECT *, row_number() OVER (PARTITION BY acceptedTaxonKey ORDER BY h, image_path) AS r FROM h_
  WHERE acceptedTaxonKey IS NOT NULL) q WHERE r <= 100""")
 def group_cap(t):
-    return sampling.group_cap(t.frozen().images.select("image_path", "acceptedTaxonKey"), "acceptedTaxonKey", 100)
+    return sampling.group_cap(t.images.select("image_path", "acceptedTaxonKey"), "acceptedTaxonKey", 100)
 
 
 @query("half_split", IMAGES + """
@@ -98,7 +99,7 @@ SELECT image_path, acceptedTaxonKey, split FROM k_ WHERE acceptedTaxonKey IN
  (SELECT acceptedTaxonKey FROM k_ WHERE split = 'train' GROUP BY acceptedTaxonKey HAVING count(*) >= 30)""")
 def split_caps(t):
     # the split is a table of its own in the pipeline: written once, then capped
-    return sampling.split_caps(_split(t).checkpoint(), "acceptedTaxonKey", 200, 30).select("image_path", "acceptedTaxonKey", "split")
+    return sampling.split_caps(materialized(_split(t), "split"), "acceptedTaxonKey", 200, 30).select("image_path", "acceptedTaxonKey", "split")
 
 
 @query("taxon_sample", with_views("crop_labels") + """

@@ -79,12 +79,17 @@ def ranked(
     )
 
 
-def first_n(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, n: int | Column
-) -> DataFrame:
-    """The first ``n`` rows of each key group."""
-    limit = F.lit(n) if isinstance(n, int) else n
-    return ranked(df, keys, order, bucket, "_rank").filter(F.col("_rank") <= limit).drop("_rank")
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Column, n: int) -> DataFrame:
+    """The first ``n`` rows of each key group in one scan; rows without a key are dropped.
+
+    Each (key, salt) piece keeps its first ``n`` rows - cut per map task already, the limit being constant -
+    and the key's own cut then sees at most ``n`` rows per salt value.
+    """
+    pieces = df.dropna(subset=list(keys)).withColumn("_s", salt)
+    for by in ([*keys, "_s"], list(keys)):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        pieces = pieces.withColumn("_r", place).filter(F.col("_r") <= n).drop("_r")
+    return pieces.drop("_s")
 
 
 def globally_ordered(df: DataFrame, order: Sequence[Column]) -> DataFrame:

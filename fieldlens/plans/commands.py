@@ -13,7 +13,7 @@ from fieldlens.functions import boxes as bx
 from fieldlens.functions.names import sample_key
 from fieldlens.operators import checklists, filters, joins, matching, sampling, scoring
 from fieldlens.plans.dataset import image_metadata, verified_metadata
-from fieldlens.session import ensure_checkpoint_dir
+from fieldlens.session import materialized
 from fieldlens.sources import documents, files, images, jobs, shards, tables
 
 
@@ -45,9 +45,8 @@ def verify_images(
     todo = planned
     if resume_from is not None:
         todo, _ = joins.resume_anti_join(planned, resume_from)
-    ensure_checkpoint_dir(metadata.sparkSession)
     # each file is decoded once, and the results outlive the deletion of broken files
-    info = images.image_info(todo, dataset_path).checkpoint()
+    info = materialized(images.image_info(todo, dataset_path), "verification")
     good = info.filter(F.col("file_size") > 0)
     results = good if resume_from is None else resume_from.select(*good.columns).unionByName(good)
     return planned.join(results, "image_path"), info.filter("corrupted").select("image_path")
@@ -89,7 +88,7 @@ def split_dataset(
     if max_instances <= 0 and min_instances <= 0:
         return split
     return sampling.split_caps(
-        split.checkpoint(), category_key, max_instances, min_instances, test_frac, val_frac, seed=random_seed
+        materialized(split, "split"), category_key, max_instances, min_instances, test_frac, val_frac, seed=random_seed
     )
 
 

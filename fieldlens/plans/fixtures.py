@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.session import ensure_checkpoint_dir
+from fieldlens.session import materialized
 
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -244,8 +244,7 @@ class Tables:
 
     def frozen(self) -> Tables:
         """The same tables with the image metadata written once, for queries that read it several times."""
-        ensure_checkpoint_dir(self.spark)
-        return Tables(self.spark, self.sf_dir, self.images.checkpoint())
+        return Tables(self.spark, self.sf_dir, materialized(self.images, "images"))
 
     @property
     def verified(self) -> DataFrame:

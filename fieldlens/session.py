@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fieldlens") -> SparkSession:
@@ -49,6 +49,13 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/fieldlens-{purpose}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """The table written once as Parquet in the shared folder and read back, so later reads prune columns."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _fallback: dict[str, str] = {}
 
 

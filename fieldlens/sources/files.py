@@ -29,13 +29,23 @@ def attempt_suffix() -> str:
     return f".{context.taskAttemptId()}.tmp" if context else ".tmp"
 
 
+def publish(fs: pafs.FileSystem, part: str, path: str) -> None:
+    """Give a finished file its name; when another attempt was first, that file stays."""
+    try:
+        fs.move(part, path)
+    except OSError:
+        if file_size(fs, path) is None:
+            raise
+        fs.delete_file(part)
+
+
 def write_bytes(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     """Whole file or none: written under the task attempt's own name, then moved."""
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = path + attempt_suffix()
     with fs.open_output_stream(part) as f:
         f.write(data)
-    fs.move(part, path)
+    publish(fs, part, path)
 
 
 # fixed values

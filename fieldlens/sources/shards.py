@@ -17,6 +17,7 @@ from fieldlens.sources import files
 
 # fixed values
 SHARD_BYTES = 100 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def assign_shards(rows: DataFrame, size: str | Column, key: str, max_shard_size: int = SHARD_BYTES, seed: int = 42) -> DataFrame:
@@ -84,7 +85,7 @@ def webdataset_sink(
                     if metadata:
                         add(tar, f"{r[key]}.json", r[metadata].encode())
                     count += 1
-            fs.move(part, path)
+            files.publish(fs, part, path)
             yield pd.DataFrame({"shard": [shard], "path": [path], "samples": [count], "bytes": [total]})
 
     return laid.mapInPandas(write, "shard bigint, path string, samples bigint, bytes bigint").checkpoint()
@@ -127,16 +128,26 @@ def webdataset_count(spark: SparkSession, pattern: str, ext: str = "jpg") -> Dat
 def webdataset_scan(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, key, jpg, cls, json) samples of a shard list."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path in b["path"]:
-                fs, p = files.open_fs(path)
-                with fs.open_input_stream(p) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
-                    parts = ((m.name.split(".", 1), tar.extractfile(m).read()) for m in tar if m.isfile())
-                    for key, members in itertools.groupby(parts, key=lambda x: x[0][0]):
-                        found = {name[1]: data for name, data in members}
-                        text = {e: found[e].decode() if e in found else None for e in ("cls", "json")}
-                        yield pd.DataFrame({"path": [path], "key": [key], "jpg": [found.get("jpg")],
-                                            "cls": [text["cls"]], "json": [text["json"]]})
+    def samples(path: str) -> Iterator[tuple]:
+        fs, p = files.open_fs(path)
+        with fs.open_input_stream(p) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
+            parts = ((m.name.split(".", 1), tar.extractfile(m).read()) for m in tar if m.isfile())
+            for key, members in itertools.groupby(parts, key=lambda x: x[0][0]):
+                found = {name[1]: data for name, data in members}
+                text = [found[e].decode() if e in found else None for e in ("cls", "json")]
+                yield path, key, found.get("jpg"), *text
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for sample in (x for b in batches for path in b["path"] for x in samples(path)):
+            held.append(sample)
+            size += len(sample[2] or b"")
+            # batches are cut by bytes, images being of any size
+            if size > BATCH_BYTES or len(held) >= 2000:
+                yield pd.DataFrame(held, columns=columns)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    columns = ["path", "key", "jpg", "cls", "json"]
     return _shard_paths(spark, pattern).mapInPandas(rows, "path string, key string, jpg binary, cls string, json string")

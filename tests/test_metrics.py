@@ -82,3 +82,13 @@ def test_binary_metrics_without_positives(spark):
     df = spark.createDataFrame([("Non-Moth", "Non-Moth", 50)], "gt string, pred string, conf int")
     r = evaluate.binary_metrics(df).first()
     assert r["accuracy"] == 100.0 and r["precision"] is None and r["f1"] is None
+
+
+def test_long_tail_buckets_and_bins(spark):
+    counts = [0, 4, 5, 9, 10, 19, 20, 50, 100, 101, 200, 500, 1000, 1001]
+    classes = spark.createDataFrame([(f"c{n}", 1, 4) for n in counts], "gt string, correct long, total long")
+    train = spark.createDataFrame([(f"c{n}", n) for n in counts], "gt string, n_train long")
+    tail = {r["bucket"]: (r["classes"], r["accuracy"]) for r in evaluate.long_tail_accuracy(classes, train).collect()}
+    assert tail == {"few": (6, 25.0), "medium": (3, 25.0), "many": (5, 25.0)}
+    bins = {r["bin"]: r["classes"] for r in evaluate.binned_accuracy_boxplot(classes, train).collect()}
+    assert bins == {"0-4": 2, "5-9": 2, "10-19": 2, "20-49": 1, "50-99": 1, "100-199": 2, "200-499": 1, "500-1K": 2, "1K+": 1}
