@@ -1,4 +1,7 @@
-"""Run registered queries against their oracle SQL: python tools/compare.py [sf] [name ...]"""
+"""Run registered queries against their oracle SQL: python tools/compare.py [sf] [name ...]
+
+EXACT=1 compares doubles bit for bit instead of to nine decimals.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +36,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9) + 0.0
+        return v + 0.0 if os.environ.get("EXACT") else round(v, 9) + 0.0
     return v
 
 
