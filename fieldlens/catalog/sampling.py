@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fieldlens.catalog import query
 from fieldlens.operators import sampling
 from fieldlens.plans.fixtures import with_views

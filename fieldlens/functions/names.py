@@ -47,6 +47,11 @@ def path_part(path, back: int) -> Column:
     return F.try_element_at(F.split(_c(path), "/"), F.lit(-back))
 
 
+def decoded(path) -> Column:
+    """Scan metadata gives file paths percent-encoded; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(_c(path), F.lit("+"), F.lit("%2B")))
+
+
 def file_time(ts) -> Column:
     """Timestamp as 'yyyy-MM-dd HH:mm:ss' in the session time zone."""
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")

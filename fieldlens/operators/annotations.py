@@ -159,7 +159,7 @@ def annotation_statistics(resolved: DataFrame, taxa: DataFrame, order: str = "ta
     copies = placed.groupBy("_img").agg(
         F.min_by("_dk", "_o").alias("_first_dk"), F.count_if("_dk").alias("_n_dk")
     )
-    back = copies.agg(F.sum(F.col("_n_dk") - F.when(F.col("_first_dk"), 1).otherwise(0))).scalar()
+    back = copies.agg(F.coalesce(F.sum(F.col("_n_dk") - F.when(F.col("_first_dk"), 1).otherwise(0)), F.lit(0))).scalar()
     places = placed.dropna(subset=["place"]).groupBy("place").agg(F.count("*").alias("n")).select(
         F.concat(F.lit("tasks_"), F.lower("place")).alias("counter"),
         (F.col("n") - F.when(F.col("place") == "Denmark", back).otherwise(0)).alias("value"),

@@ -49,6 +49,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/fieldlens-{purpose}-{uuid.uuid4().hex}"
 
 
+def io_tasks(spark: SparkSession) -> int:
+    """Tasks for work on files. Given as a number: rows that are only paths look small, and adaptive execution
+    would merge partitions that stand for terabytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def materialized(df: DataFrame, purpose: str) -> DataFrame:
     """The table written once as Parquet in the shared folder and read back, so later reads prune columns."""
     path = work_dir(df.sparkSession, purpose)

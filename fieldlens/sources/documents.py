@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlens.functions.names import decoded
 from fieldlens.schemas import ANNOTATION_TASK
 from fieldlens.sources.jobs import write_files
 
@@ -68,7 +69,7 @@ def write_prediction_json(nested: DataFrame, path: str) -> None:
 
 def yolo_label_scan(spark: SparkSession, path: str) -> DataFrame:
     """Boxes of ``id x y w h`` text files, the image being the file name."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_name").alias("f"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", decoded("_metadata.file_name").alias("f"))
     parts = F.split(F.trim("value"), r"\s+")
     rows = lines.filter(F.trim("value") != "").select(F.regexp_replace("f", r"\.[^.]*$", "").alias("image"), parts.alias("p"))
     return rows.select(

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.functions.names import path_part
+from fieldlens.functions.names import decoded, path_part
 from fieldlens.sources import files
 
 
@@ -16,8 +16,8 @@ def _relative(path: Column, root: str) -> Column:
     """Path below ``root``, whatever number of slashes the scheme came with."""
     bare = F.regexp_replace(path, "^file:/+", "/")
     base = root if "://" in root else "/" + root.removeprefix("file:").strip("/")
-    base = base.removeprefix("file://")
-    return F.substring(F.url_decode(bare), len(base.rstrip("/")) + 2, 1_000_000)
+    base = base.removeprefix("file://").rstrip("/")
+    return F.substr(bare, F.lit(len(base) + 2))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -33,7 +33,7 @@ def scanned_images(images: DataFrame, root: str) -> DataFrame:
     """Verification columns of an ``image`` scan, batch or stream; sizes are null where decoding failed."""
     valid = F.col("image.height") >= 0
     return images.select(
-        _relative(F.col("_metadata.file_path"), root).alias("image_path"),
+        _relative(decoded("_metadata.file_path"), root).alias("image_path"),
         F.when(valid, F.col("image.width")).alias("width"),
         F.when(valid, F.col("image.height")).alias("height"),
         F.when(valid, F.col("_metadata.file_modification_time")).alias("fetch_date"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.operators.ordering import ensure_checkpoint_dir
+from fieldlens.session import io_tasks
 from fieldlens.sources import files
 
 
@@ -48,8 +49,7 @@ def fetch_job(
             yield pd.DataFrame({"image_path": b["image_path"], "status": done})
 
     ensure_checkpoint_dir(plan.sparkSession)
-    rows = plan.select("image_path", "identifier")
-    rows = rows.repartition(workers, "image_path") if workers else rows.repartition("image_path")
+    rows = plan.select("image_path", "identifier").repartition(workers or io_tasks(plan.sparkSession), "image_path")
     return rows.mapInPandas(run, "image_path string, status string").checkpoint()
 
 
@@ -70,7 +70,7 @@ def delete_job(listed: DataFrame, base_path: str | None = None, column: str = "f
             yield pd.DataFrame({"filename": b[column], "deleted": out})
 
     ensure_checkpoint_dir(listed.sparkSession)
-    names = listed.select(column).distinct()
+    names = listed.select(column).distinct().repartition(io_tasks(listed.sparkSession))
     return names.mapInPandas(run, "filename string, deleted boolean").checkpoint()
 
 
@@ -90,5 +90,6 @@ def write_files(rows: DataFrame, root: str, path: str, content: str) -> int:
                 files.write_bytes(fs, f"{base}/{p}", bytes(c))
             yield pd.DataFrame({"n": [len(b)]})
 
-    done = rows.select(path, content).mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0]
+    spread = rows.select(path, content).repartition(io_tasks(rows.sparkSession))
+    done = spread.mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0]
     return done or 0

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.operators.ordering import ensure_checkpoint_dir, hash_bucket, hash_order, ranked
+from fieldlens.session import io_tasks
 from fieldlens.sources import files
 
 # fixed values
@@ -54,7 +55,7 @@ def webdataset_sink(
     ensure_checkpoint_dir(rows.sparkSession)
     placed = assign_shards(rows, size, key, max_shard_size, seed)
     cols = [c for c in ("shard", "_h", key, label, payload, image_path, metadata) if c]
-    laid = placed.select(*cols).repartition("shard").sortWithinPartitions("shard", "_h")
+    laid = placed.select(*cols).repartition(io_tasks(rows.sparkSession), "shard").sortWithinPartitions("shard", "_h")
     out_uri, source_uri = out_dir.rstrip("/"), (dataset_path or "").rstrip("/")
 
     def add(tar: tarfile.TarFile, member: str, data: bytes) -> int:
@@ -108,7 +109,7 @@ def expand_braces(pattern: str) -> list[str]:
 
 def _shard_paths(spark: SparkSession, pattern: str) -> DataFrame:
     listed = spark.read.format("binaryFile").load(expand_braces(pattern)).select("path")
-    return listed.repartition("path")
+    return listed.repartition(io_tasks(spark), "path")
 
 
 def webdataset_count(spark: SparkSession, pattern: str, ext: str = "jpg") -> DataFrame:

@@ -95,13 +95,13 @@ def test_crop_goes_to_json(spark, tmp_path):
 
 def test_image_info_sentinels(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "ok 1.jpg").write_bytes(bmp_bytes(3, 4))
+    (tmp_path / "d" / "a+b 100%.jpg").write_bytes(bmp_bytes(3, 4))
     (tmp_path / "d" / "bad.jpg").write_bytes(b"xx")
     (tmp_path / "d" / "empty.jpg").write_bytes(b"")
-    planned = spark.createDataFrame([("d/ok 1.jpg",), ("d/bad.jpg",), ("d/empty.jpg",), ("d/none.jpg",)], "image_path string")
+    planned = spark.createDataFrame([("d/a+b 100%.jpg",), ("d/bad.jpg",), ("d/empty.jpg",), ("d/none.jpg",)], "image_path string")
     got = {r[0]: tuple(r)[1:] for r in images.export_verification(images.image_info(planned, str(tmp_path))).select(
         "image_path", "width", "height", "file_size", "corrupted").collect()}
-    assert got == {"d/ok 1.jpg": (3, 4, 54 + 12 * 4, False), "d/bad.jpg": (-1, -1, -1, True),
+    assert got == {"d/a+b 100%.jpg": (3, 4, 54 + 12 * 4, False), "d/bad.jpg": (-1, -1, -1, True),
                    "d/empty.jpg": (-1, -1, -1, True), "d/none.jpg": (-1, -1, -1, False)}
 
 
@@ -136,3 +136,10 @@ def test_key_lists_and_tables(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "csv"), "name string, n int", "csv").exceptAll(df).isEmpty()
     (tmp_path / "tasks.json").write_text('[{"task_id": 1, "data": {"image": "u/x.jpg", "deployment": "UK"}, "annotations": []}]')
     assert documents.annotation_json_scan(spark, str(tmp_path / "tasks.json"), one_document=True).first()["data"]["image"] == "u/x.jpg"
+
+
+def test_label_files_round_trip(spark, tmp_path, rows):
+    texts = spark.createDataFrame([("a b+1", "0 0.5 0.5 0.1 0.2\n3 1 1e-05 0.25 1\n"), ("c", "1 0.1 0.2 0.3 0.4\n")], "image string, content string")
+    assert documents.yolo_label_sink(texts, str(tmp_path / "labels")) == 2
+    got = rows(documents.yolo_label_scan(spark, str(tmp_path / "labels")), "image", "class_id", "yc")
+    assert got == [("a b+1", 0, 0.5), ("a b+1", 3, 1e-05), ("c", 1, 0.2)]
