@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import exact_dedup, langid, mixing, quality
+from fieldlens.llm import exact_dedup, html_tree, langid, mixing, quality, sentencepiece_scan, spans, token_counts
 from fieldlens.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,12 +36,42 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents"))
 
 
+@query("op3_sentencepiece_codec")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text; ``round_trip`` compares the outcome with the text itself."""
+    docs = table(spark, sf_dir, "documents")
+    spelt = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
+    return spelt.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_chunks",
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op7_sentence_spans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op9_exact_dedup", r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
     SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
