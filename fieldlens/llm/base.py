@@ -73,12 +73,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, grown as needed."""
-    global _POWERS, _INVERSES
     if len(_POWERS) < n:
         size = max(n, 2 * len(_POWERS))
-        inverse = pow(_BASE, -1, 1 << 64)
-        grow = lambda b: np.cumprod(np.concatenate([[1], np.full(size - 1, b, dtype=np.uint64)]).astype(np.uint64))
-        _POWERS, _INVERSES = grow(_BASE), grow(inverse)
+        for base, keep in ((_BASE, "_POWERS"), (pow(_BASE, -1, 1 << 64), "_INVERSES")):
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            globals()[keep] = np.cumprod(factors)
     return _POWERS[:n], _INVERSES[:n]
 
 
