@@ -88,3 +88,21 @@ def prefix_hashes(b: np.ndarray) -> np.ndarray:
     _, inv = powers(len(b) + 1)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * inv[: len(b)], out=out[1:])
     return out
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, copies: str | None = None) -> DataFrame:
+    """The rows of ``docs`` named by ``keys`` (``_id``, ``_th`` as in ``row_key``), once each, with their own columns.
+
+    With ``copies`` each row comes as often as that column of ``keys`` says. The join, the choice among repeated rows
+    and the repetition use one shuffle of the rows.
+    """
+    key, th = row_key()
+    own, named = ["__row_id", "__row_th"], ["__key_id", "__key_th", "__copies"]
+    wanted = keys.groupBy(F.col("_id").alias(named[0]), F.col("_th").alias(named[1])).agg(
+        F.sum(copies if copies else F.lit(1)).alias(named[2])
+    )
+    rows = docs.withColumns({own[0]: key, own[1]: th})
+    rows = rows.join(wanted, (rows[own[0]] == wanted[named[0]]) & (rows[own[1]] == wanted[named[1]])).dropDuplicates(own)
+    if copies:
+        rows = rows.filter(F.col(named[2]) > 0).withColumn(own[0], F.explode(F.sequence(F.lit(1).cast("long"), F.col(named[2]))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

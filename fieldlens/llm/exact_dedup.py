@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches
+from fieldlens.llm.base import bound_batches, keep_rows, row_key
 from fieldlens.session import materialized
 
 #: Characters of the text in the range splitters: they are sampled on the driver, so they must be short.
@@ -38,9 +38,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = run + np.cumsum(~same)
         run, last = int(number[-1]), norm[b.num_rows - 1].as_py()
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("sha"), pa.array(np.full(b.num_rows, part, dtype=np.int64)),
+            [b.column("doc_id"), b.column("th"), b.column("sha"), pa.array(np.full(b.num_rows, part, dtype=np.int64)),
              pa.array(number.astype(np.int64)), pa.array(~same)],
-            names=["doc_id", "sha", "part", "run", "head"],
+            names=["doc_id", "th", "sha", "part", "run", "head"],
         )
 
 
@@ -56,13 +56,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     doc_id comes after all others; a group of only such rows keeps one and has a null keep_id. An empty table
     gives an empty result. Other columns are ignored.
     """
+    return _placed(docs).drop("th")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"), F.xxhash64("text").alias("th"))
     base = base.withColumn("sha", F.sha2("norm", 256))
     order = [F.substring("norm", 1, SPLITTER_CHARS), F.col("sha"), F.col("doc_id").asc_nulls_last()]
     laid = base.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = materialized(
-        laid.mapInArrow(_runs, "doc_id long, sha string, part long, run long, head boolean"), "exact-runs"
+        laid.mapInArrow(_runs, "doc_id long, th long, sha string, part long, run long, head boolean"), "exact-runs"
     )
     runs = rows.groupBy("part", "run").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"), F.min("sha").alias("_sha"))
     groups = runs.groupBy("_sha").agg(
@@ -71,11 +75,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     placed = runs.select("part", "run", "_sha").join(groups, "_sha").drop("_sha")
     return rows.join(placed, ["part", "run"]).select(
         "doc_id", "keep_id", "group_size", (F.col("head") & (F.col("part") == F.col("_part"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.col("sha").alias("text_sha256"), "th",
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows repeated under one doc_id any one stays."""
-    keep = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """The documents that stay, one of every group of equals, with all their columns."""
+    kept = _placed(docs).filter("kept").select(row_key()[0], F.col("th").alias("_th"))
+    return keep_rows(docs, kept)

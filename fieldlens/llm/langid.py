@@ -216,6 +216,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def with_known_language(docs: DataFrame) -> DataFrame:
     """The documents whose language was found, with all their columns; those answered ``und`` go."""
-    found = identify(docs, train(training_rows(docs))).filter(F.col("lang_pred") != UNKNOWN)
-    kept = found.select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    held = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, _ = held.value.predict([t or "" for t in b.column("text").to_pylist()])
+            keep = pa.array([x != UNKNOWN for x in found], pa.bool_())
+            yield b.filter(keep)
+
+    # a text without a letter is answered ``und`` before the classifier is asked
+    return docs.filter(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

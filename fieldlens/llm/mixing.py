@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import WORD
+from fieldlens.llm.base import WORD, bound_batches, keep_rows, row_key
 from fieldlens.session import materialized
 
 #: No document is taken more often than this.
@@ -65,10 +65,15 @@ def pareto_mix(
     source is a source of its own. Budgets over two hundred percent give every row twice. An empty table gives
     an empty result. Other columns are ignored.
     """
+    return _drawn(docs, weights, budget_percent, seed).drop("_id", "_th")
+
+
+def _drawn(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_percent: int = 150, seed: int = 20240601) -> DataFrame:
     if not 0 <= budget_percent:
         raise ValueError("budget_percent must not be negative")
+    bound_batches(docs.sparkSession)
     sizes = materialized(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "mix-sizes"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), *row_key()), "mix-sizes"
     )
     targets = source_targets(sizes, weights, budget_percent)
     root = F.floor(F.sqrt("size"))
@@ -129,5 +134,11 @@ def pareto_mix(
     return edge.unionByName(rest_rows).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.col("copies_certain") + F.col("_in").cast("long"))).alias("taken"),
-        "copies_certain", "inclusion",
+        "copies_certain", "inclusion", "_id", "_th",
     )
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns."""
+    taken = _drawn(docs).filter("taken > 0")
+    return keep_rows(docs, taken.withColumn("_n", (F.col("taken") / F.col("size")).cast("long")), copies="_n")
