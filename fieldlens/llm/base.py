@@ -17,16 +17,18 @@ BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by bytes, not only by rows. A limit set by the user that is smaller stays."""
+def prepare(spark: SparkSession) -> None:
+    """Session settings the operators rely on: Arrow batches are cut by bytes, not only by rows (a smaller limit of
+    the user stays), and shuffle files go when the job that wrote them is over instead of piling up over many jobs."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     named = spark.conf.get(key, None)
     if named is None or not named.isdigit() or int(named) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
@@ -45,7 +47,7 @@ def encoded(texts: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def slices(data: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(data: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a batch of about ``limit`` bytes each, so that numpy temporaries stay small; no text is cut."""
     start, held = 0, 0
     for i, d in enumerate(data):

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches, keep_rows, row_key
+from fieldlens.llm.base import prepare, keep_rows, row_key
 from fieldlens.session import materialized
 
 #: Characters of the text in the range splitters: they are sampled on the driver, so they must be short.
@@ -60,7 +60,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"), F.xxhash64("text").alias("th"))
     base = base.withColumn("sha", F.sha2("norm", 256))
     order = [F.substring("norm", 1, SPLITTER_CHARS), F.col("sha"), F.col("doc_id").asc_nulls_last()]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches
+from fieldlens.llm.base import prepare
 from fieldlens.operators.ordering import first_n
 
 #: Hashed byte n-grams of 1 to 3 bytes; square roots of their shares make a vector of length one.
@@ -122,7 +122,7 @@ def train(docs: DataFrame) -> LanguageModel:
     One task per classifier; each sees at most ROWS_PER_FIT rows. Rows without lang or without a letter are left
     out. Only the weights, a few vectors of fixed length, come to the driver.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     seen = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     names = sorted(r["lang"] for r in seen.collect())
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     The score is the family's share times the weakest pairwise probability of the language. Rows repeated under
     one doc_id are answered each; other columns are ignored; an empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

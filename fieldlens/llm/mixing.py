@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import WORD, bound_batches, keep_rows, row_key
+from fieldlens.llm.base import WORD, prepare, keep_rows, row_key
 from fieldlens.session import materialized
 
 #: No document is taken more often than this.
@@ -71,7 +71,7 @@ def pareto_mix(
 def _drawn(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_percent: int = 150, seed: int = 20240601) -> DataFrame:
     if not 0 <= budget_percent:
         raise ValueError("budget_percent must not be negative")
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     sizes = materialized(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), *row_key()), "mix-sizes"
     )

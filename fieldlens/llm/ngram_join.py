@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches, encoded, mixed, powers, prefix_hashes, slices
+from fieldlens.llm.base import prepare, encoded, keep_rows, mixed, powers, prefix_hashes, row_key, slices
 from fieldlens.llm.components import components
 from fieldlens.session import materialized
 
@@ -30,7 +30,7 @@ SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Groups of a count vector; cells of the rarity sketch, whatever the size of the input.
-GROUPS, CELLS = 64, 1 << 18
+GROUPS, CELLS = 256, 1 << 18
 #: Members that one task compares at once; larger blocks and stars are dealt to several tasks.
 SHARE = 4096
 #: Entries of a leaf of the R-tree, and boxes below a node.
@@ -78,43 +78,45 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size, digest and count vector per row; the set itself once per partition and digest."""
-    seen: set[int] = set()
+def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[bytes], list[int | None]]]:
+    """Slices of the batches with the sets of their texts, packed, and the digests; no digest for an empty set."""
     for batch in batches:
         data = [d.lower() for d in encoded(batch.column("text"))]
         for a, b in slices(data):
-            sizes, sids, vectors, tokens = [], [], [], []
-            for s in shingle_sets(data[a:b]):
-                raw = packed(s)
-                sid = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                first = len(s) > 0 and sid not in seen
-                sizes.append(len(s))
-                sids.append(sid if len(s) else None)
-                vectors.append(np.bincount(mixed(s) >> np.uint64(58), minlength=GROUPS).astype("<u4").tobytes() if first else None)
-                tokens.append(raw if first else None)
-                if first:
-                    seen.add(sid)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
-                 pa.array(vectors, pa.binary()), pa.array(tokens, pa.binary())],
-                names=["doc_id", "n", "sid", "vec", "tokens"],
-            )
+            sets = shingle_sets(data[a:b])
+            raw = [packed(s) for s in sets]
+            yield batch.slice(a, b - a), sets, raw, [xxhash.xxh3_64_intdigest(r) - (1 << 63) if r else None for r in raw]
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """How many sets have a shingle in each cell; CELLS numbers in all, added up in tasks."""
-    parts = 16
-    width = CELLS // parts
+#: The cells of the sketch travel in so many parts.
+PARTS = 16
 
-    def count(batches):
-        total = np.zeros(CELLS, dtype=np.int64)
-        for b in batches:
-            for a in range(0, b.num_rows, 2048):
-                tokens = unpacked(b"".join(b.column("tokens").slice(a, 2048).to_pylist()))
-                total += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        cut = [total[i * width : (i + 1) * width].tobytes() for i in range(parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(cut, pa.binary())], names=["part", "cells"])
+
+def point(tokens: np.ndarray) -> bytes | None:
+    """The count vector of a set: how many of its shingles fall into each group."""
+    return np.bincount(mixed(tokens) >> np.uint64(56), minlength=GROUPS).astype("<u4").tobytes() if len(tokens) else None
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and digest per row; at the end of the partition, how many of its sets have a shingle in each cell."""
+    names = ["doc_id", "_id", "_th", "n", "sid", "vec", "part", "cells"]
+    total = np.zeros(CELLS, dtype=np.int64)
+    for b, sets, _, sids in _each_set(batches):
+        tokens = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+        total += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("_id"), b.column("_th"), pa.array(map(len, sets), pa.int64()), pa.array(sids, pa.int64()),
+             pa.array(map(point, sets), pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=names,
+        )
+    if total.any():
+        cut = [c.tobytes() for c in np.split(total, PARTS)]
+        none = pa.nulls(PARTS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(cut, pa.binary())], names=names)
+
+
+def rarity(counted: DataFrame) -> np.ndarray:
+    """How many sets have a shingle in each cell; CELLS numbers in all, added up in tasks."""
+    width = CELLS // PARTS
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -127,25 +129,27 @@ def rarity(sets: DataFrame) -> np.ndarray:
         )
 
     cells = np.zeros(CELLS, dtype=np.int64)
-    counted = sets.select("tokens").mapInArrow(count, "part int, cells binary").repartition(parts, "part")
-    for r in counted.mapInArrow(add, "part int, cells binary").collect():
+    for r in counted.repartition(PARTS, "part").mapInArrow(add, "part int, cells binary").collect():
         cells[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["cells"], dtype=np.int64)
     return cells
 
 
-def rare_shingles(sets: DataFrame, cells: np.ndarray) -> DataFrame:
+def rare_shingles(texts: DataFrame, cells: np.ndarray) -> DataFrame:
     """t, salt, salts, sid: the rarest shingles of each set, as many as cannot all be missing in a linked set.
 
     The order (sketch, hash) is the same for all sets. ``salts`` says how many parts the block of a common shingle
-    is dealt to.
+    is dealt to. A set that a partition has several times is reported once.
     """
-    held = sets.sparkSession.sparkContext.broadcast(cells)
+    held = texts.sparkSession.sparkContext.broadcast(cells)
 
     def pick(batches):
-        for b in batches:
+        seen: set[int | None] = {None}
+        for _, sets, _, found in _each_set(batches):
             ts, counts, sids = [], [], []
-            for sid, raw in zip(b.column("sid").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                tokens = unpacked(raw)
+            for sid, tokens in zip(found, sets, strict=True):
+                if sid in seen:
+                    continue
+                seen.add(sid)
                 n = len(tokens)
                 most = n + (-PERCENT * n // 100) + 1
                 common = held.value[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
@@ -161,7 +165,43 @@ def rare_shingles(sets: DataFrame, cells: np.ndarray) -> DataFrame:
                 names=["t", "salt", "salts", "sid"],
             )
 
-    return sets.select("sid", "tokens").mapInArrow(pick, "t long, salt int, salts int, sid long")
+    return texts.select("text").mapInArrow(pick, "t long, salt int, salts int, sid long")
+
+
+def full_sets(base: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, tokens of the sets named in ``wanted``, from one text each."""
+    lenders = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("_id", "_th")).alias("_k"))
+    lenders = lenders.select(F.col("_k._id").alias("_lid"), F.col("_k._th").alias("_lth"))
+    texts = base.join(lenders, (F.col("_id") == F.col("_lid")) & (F.col("_th") == F.col("_lth")), "left_semi")
+
+    def spell(batches):
+        seen: set[int | None] = {None}
+        for _, sets, raw, sids in _each_set(batches):
+            fresh = []
+            for i, sid in enumerate(sids):
+                if sid not in seen:  # rows repeated under one doc_id lie in one partition
+                    seen.add(sid)
+                    fresh.append(i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sids[i] for i in fresh], pa.int64()), pa.array([raw[i] for i in fresh], pa.binary())], names=["sid", "tokens"]
+            )
+
+    return texts.select("text").mapInArrow(spell, "sid long, tokens binary")
+
+
+def possible(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and count vectors do not rule out."""
+    side = lambda c: points.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("vec").alias(f"v_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+
+    def bound(batches):
+        for b in batches:
+            vec = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u4").reshape(-1, GROUPS) for c in ("v_a", "v_b")]
+            keep = CountTree.bound(vec[0], vec[1], b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(bound, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -235,8 +275,8 @@ class CountTree:
     @staticmethod
     def bound(a: np.ndarray, high: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndarray:
         keep = np.zeros(len(a), dtype=bool)
-        for i in range(0, len(a), 1 << 16):
-            j = slice(i, i + (1 << 16))
+        for i in range(0, len(a), 1 << 12):
+            j = slice(i, i + (1 << 12))
             overlap = np.minimum(a[j], high[j]).sum(axis=1, dtype=np.int64)
             # intersection >= PERCENT / (100 + PERCENT) * both sizes
             keep[j] = (100 + PERCENT) * overlap >= PERCENT * (size[j] + low[j])
@@ -262,7 +302,8 @@ def tree_pairs(members: DataFrame) -> DataFrame:
         def close():
             if len(held) > 1:
                 ask, sid, root, size, vec = zip(*held, strict=True)
-                vec = np.frombuffer(b"".join(vec), dtype="<u4").reshape(len(held), GROUPS).astype(np.int64)
+                vec = np.frombuffer(b"".join(vec), dtype="<u4").reshape(len(held), GROUPS)
+                vec = vec.astype(np.uint16) if vec.max() < 1 << 16 else vec
                 for a, b in join_group(np.array(ask), np.array(sid), np.array(root), np.array(size), vec):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -290,41 +331,57 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id never becomes a component_id unless all of the component are null. Other columns are ignored; an empty
     table gives an empty result.
     """
+    named = _classes(docs)
+    least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, _id, _th, n, sid, root: every row with its set and the name of its component; both null without a set."""
     spark = docs.sparkSession
-    bound_batches(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialized(base.mapInArrow(_sets, "doc_id long, n long, sid long, vec binary, tokens binary"), "shingle-sets")
-    # one of the partitions that hold a set lends it
-    held = rows.filter("tokens is not null")
-    first = held.groupBy("sid").agg(F.min(F.struct("doc_id", "n")).alias("_f"), F.count("*").alias("_c"))
-    single = held.join(first.filter("_c = 1").select("sid"), "sid", "left_semi")
-    several = held.join(first.filter("_c > 1").select("sid", "_f"), "sid").filter(F.struct("doc_id", "n") == F.col("_f")).dropDuplicates(["sid"]).drop("_f")
-    sets = single.unionByName(several)
-
-    cells = rarity(held)
-    blocks = rare_shingles(held, cells).repartition("t", "salt")
+    prepare(spark)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
+    counted = materialized(
+        base.mapInArrow(_sizes, "doc_id long, _id long, _th long, n long, sid long, vec binary, part int, cells binary"), "set-sizes"
+    )
+    rows = counted.filter("part is null").drop("part", "cells")
+    cells = rarity(counted.filter("part is not null").select("part", "cells"))
+    blocks = rare_shingles(base, cells).repartition("t", "salt")
     block = Window.partitionBy("t", "salt")
     shared = materialized(
-        blocks.withColumn("c", F.min("sid").over(block)).withColumn("_last", F.max("sid").over(block))
-        .filter((F.col("c") < F.col("_last")) | (F.col("salts") > 1)).drop("_last"),
+        blocks.withColumn("_first", F.min("sid").over(block)).withColumn("_last", F.max("sid").over(block))
+        .filter((F.col("_first") < F.col("_last")) | (F.col("salts") > 1)).drop("_first", "_last"),
         "blocks",
     )
-    # the first sets of the parts of a dealt block meet the block's first set
-    parts = shared.filter("salts > 1").groupBy("t", "salt").agg(F.min("c").alias("a"))
-    tops = parts.groupBy("t").agg(F.min("a").alias("b"))
-    stars = shared.select(F.col("sid").alias("a"), F.col("c").alias("b")).unionByName(parts.join(tops, "t").select("a", "b"))
+    points = materialized(rows.filter("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.max("vec").alias("vec")), "points")
+    # a star's centre is the set that shares most of its shingles, as the origin of edited copies does
+    common = shared.groupBy("sid").agg(F.count("*").alias("_d")).join(points.select("sid", "n"), "sid").select("sid", (F.col("_d") / F.col("n")).alias("_d"))
+    scored = shared.join(common, "sid")
+    centres = scored.groupBy("t", "salt").agg(F.max(F.struct("_d", "sid")).alias("_c"))
+    spokes = scored.join(centres, ["t", "salt"]).select(F.col("sid").alias("a"), F.col("_c.sid").alias("b"))
+    # the centres of the parts of a dealt block meet the block's first centre
+    parts = scored.filter("salts > 1").groupBy("t", "salt").agg(F.max(F.struct("_d", "sid")).alias("_c"))
+    tops = parts.groupBy("t").agg(F.max("_c").alias("_top"))
+    stars = spokes.unionByName(parts.join(tops, "t").select(F.col("_c.sid").alias("a"), F.col("_top.sid").alias("b")))
     stars = materialized(stars.filter("a <> b").distinct(), "stars")
-    links = materialized(linked(stars, sets), "links")
+    near = materialized(possible(stars, points), "near-stars")
+    ends = lambda p: p.select(F.col("a").alias("sid")).unionByName(p.select(F.col("b").alias("sid"))).distinct()
+    sets = materialized(full_sets(base, rows, ends(near)), "sets")
+    links = materialized(linked(near, sets), "links")
     roots = components(links)
 
     # blocks of more than two sets that are not yet one component
     placed = shared.select("t", "salt", "salts", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "sid"))
     open_blocks = (
-        placed.groupBy("t").agg(F.min("root").alias("main"), F.max("root").alias("_r"), F.count("*").alias("_n"))
-        .filter("main < _r and _n > 2").select("t", "main")
+        placed.groupBy("t").agg(F.min("root").alias("main"), F.max("root").alias("_r"), F.count("*").alias("_n"),
+                                F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("_m"))
+        # blocks with the same members are one
+        .filter("main < _r and _n > 2").groupBy("_n", "_m").agg(F.min(F.struct("t", "main")).alias("_b")).select("_b.*")
     )
-    members = placed.join(open_blocks, "t").join(sets.select("sid", "n", "vec"), "sid")
+    members = placed.join(open_blocks, "t").join(points, "sid")
     # in a dealt block the sets outside its main component ask in every part
     own = members.select("t", "salt", (F.col("root") != F.col("main")).alias("ask"), "sid", "root", "n", "vec")
     guests = members.filter("salts > 1 and root <> main").select(
@@ -333,17 +390,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = tree_pairs(own.unionByName(guests)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialized(pairs.join(tried, ["a", "b"], "left_anti"), "tree-pairs")
-    more = materialized(linked(pairs, sets), "links")
+    others = materialized(full_sets(base, rows, ends(pairs).join(sets.select("sid"), "sid", "left_anti")), "sets")
+    more = materialized(linked(pairs, sets.unionByName(others)), "links")
     roots = components(links.unionByName(more))
 
-    named = rows.select("doc_id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of every component, and all that have no shingle, with all their columns."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    named = _classes(docs)
+    first = named.filter("n > 0").groupBy("root").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k.*")
+    return keep_rows(docs, first.unionByName(named.filter("n = 0").select("_id", "_th")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches, encoded
+from fieldlens.llm.base import prepare, encoded
 from fieldlens.operators.ordering import first_n
 
 #: Labelled documents per class that the labeller is fitted on, chosen by a hash of doc_id.
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] |
     The lines of a good document are content and those of a poor one boilerplate; a line that repeats an earlier
     line of its document is boilerplate in either. Without a labelled document there is no model.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     marked = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     h = F.xxhash64(F.lit(5), "doc_id")
     chosen = first_n(marked.withColumn("_h", h), ["quality"], [F.col("_h"), F.col("doc_id")], F.pmod("_h", F.lit(64)), SAMPLE_PER_CLASS)
@@ -196,7 +196,7 @@ def assess(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> Data
     every line is content. Rows repeated under one doc_id are answered each; a null doc_id is passed on; other
     columns are ignored; an empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches, row_key
+from fieldlens.llm.base import prepare, row_key
 from fieldlens.llm.unigram import Vocabulary, marked, model_bytes, vocabulary
 
 #: Characters of a chunk; texts up to this length are one chunk.
@@ -133,7 +133,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
     result. A text of any length is encoded whole.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    prepare(spark)
     held = spark.sparkContext.broadcast(model_bytes(model))
     reach = vocabulary(held.value).longest - 1
 
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """The rows of ``encoded`` with a column ``text`` spelt from ``ids``; null ids give an empty text."""
     spark = encoded.sparkSession
-    bound_batches(spark)
+    prepare(spark)
     held = spark.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches, mixed, row_key
+from fieldlens.llm.base import prepare, mixed, row_key
 from fieldlens.session import materialized
 
 #: Sentences of a run, and the fewest words it holds; a run with fewer words goes on to the next sentence.
@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     count as one document and each comes back. A null doc_id comes before all others. Other columns are ignored; an
     empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
     found = base.select("_id", "_th", "text").mapInArrow(_hashed, "_a long, _b long, _id long, _th long, _at long")
     repeated = (

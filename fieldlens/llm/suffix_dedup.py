@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches, encoded, mixed, powers, prefix_hashes, row_key
+from fieldlens.llm.base import prepare, encoded, mixed, powers, prefix_hashes, row_key
 from fieldlens.session import materialized
 
 #: Bytes of a repeated string, of an anchor, and grams that a string has.
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated under one doc_id are rows of their own, so their long texts go in each. A null doc_id is passed on.
     Other columns are ignored; an empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
     found = materialized(stretches(base, repeated_filter(base)), "stretches")
     each = materialized(
