@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches
+from fieldlens.llm.base import prepare
 from fieldlens.session import materialized
 
 #: Branches worth less are dropped; how much an inner node's own variety counts; pages a host needs to be judged.
@@ -169,6 +169,7 @@ def site_trees(pages: DataFrame) -> DataFrame:
         for r in g.itertuples():
             children.setdefault(r.parent, []).append(r.node)
         value: dict[int, float] = {}
+        low: set[int] = set()
         todo = [(n, False) for n in rows]
         while todo:
             node, ready = todo.pop()
@@ -190,9 +191,11 @@ def site_trees(pages: DataFrame) -> DataFrame:
                 inner = sum(value.get(c, 1.0) * s for c, s in zip(below, shares, strict=True)) / sum(shares)
                 own = max(own, (1 - keep) * variety + keep * inner)
             value[node] = own
-        low = [n for n, v in value.items() if v < IMPORTANCE and rows[n].m >= FEWEST_PAGES]
+            # a branch goes only as a whole: nothing below it may be worth keeping
+            if own < IMPORTANCE and r.m >= FEWEST_PAGES and low.issuperset(below):
+                low.add(node)
         hosts = pd.Series([str(g["host"].iloc[0])] * len(low), dtype=object)
-        return pd.DataFrame({"host": hosts, "node": pd.Series(low, dtype="int64")})
+        return pd.DataFrame({"host": hosts, "node": pd.Series(sorted(low), dtype="int64")})
 
     return worth.groupBy("host").applyInPandas(judge, "host string, node long")
 
@@ -204,7 +207,7 @@ def extract(pages: DataFrame) -> DataFrame:
     candidates, else all of them. Pages without a host share one tree. Rows repeated under one page_id are answered
     each; null ids and urls are passed on; other columns are ignored; an empty table gives an empty result.
     """
-    bound_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     base = pages.select("page_id", "url", "html", host_of().alias("host"))
     numbered = base.select("host", F.xxhash64("page_id", "url").alias("page"), "html")
     low = materialized(site_trees(numbered).groupBy("host").agg(F.collect_list("node").alias("low")), "site-trees")
