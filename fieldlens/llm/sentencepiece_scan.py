@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldlens.llm.base import prepare, row_key
 from fieldlens.llm.unigram import Vocabulary, marked, model_bytes, vocabulary
@@ -77,7 +78,16 @@ class Chunk:
         return out
 
     def matrix(self) -> np.ndarray:
-        return np.stack([self.outs({i: 0}) for i in range(self.states)])
+        if self.tail_at is None:
+            return np.stack([self.outs({i: 0}) for i in range(self.states)])
+        # every state that comes in goes on from the first cut in the same way
+        room = self.n - self.tail_at
+        ends = self.vocab.forward(self.tail, {0: 0}, room)[0][room : room + self.states]
+        on = np.full(self.states, NONE)
+        middle = sum([c[0] for c in self.vocab.costs(self.middle)])
+        on[[j for j, e in enumerate(ends) if e is not None]] = [e + middle for e in ends if e is not None]
+        heads = [self.vocab.forward(self.head, {i: 0}, self.head_end)[0][self.head_end] for i in range(self.states)]
+        return np.stack([on + h for h in heads])
 
     def origins(self, entering: np.ndarray) -> np.ndarray:
         """The entering state that the best path to each leaving state comes from; -1 where none leads."""
@@ -137,27 +147,33 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
     held = spark.sparkContext.broadcast(model_bytes(model))
     reach = vocabulary(held.value).longest - 1
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Short texts leave encoded, long ones in chunks with the characters that their last piece may reach."""
+    def listed(raw: list[bytes]) -> pa.ListArray:
+        offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in raw)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+
+    def spell_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(held.value)
+        for b in batches:
+            raw = [b"".join(map(vocab.word_ids, vocab.words(marked(t or "")))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed(raw), pa.array(np.ones(len(raw), dtype=np.int64))], names=["doc_id", "ids", "n_chunks"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks with the characters that their last piece may reach."""
         for b in batches:
             rows = []
-            for key in zip(*(b.column(c).to_pylist() for c in ("doc_id", "_id", "_th", "text", "_copies")), strict=True):
-                doc_id, _, _, text, _ = key
-                s = marked(text or "")
-                if len(s) <= chunk:
-                    rows.append((*key[:3], key[4], 0, 1, None, None, b"".join(map(vocab.word_ids, vocab.words(s)))))
-                else:
-                    count = -(-len(s) // chunk)
-                    for k in range(count):
-                        end = (k + 1) * chunk
-                        rows.append((*key[:3], key[4], k, count, s[k * chunk : end], s[end : end + reach], None))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+            for doc_id, key, th, text, copies in zip(*(b.column(c).to_pylist() for c in ("doc_id", "_id", "_th", "text", "_copies")), strict=True):
+                s = marked(text)
+                count = -(-len(s) // chunk)
+                for k in range(count):
+                    end = (k + 1) * chunk
+                    rows.append((doc_id, key, th, copies, k, count, s[k * chunk : end], s[end : end + reach]))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    names = ["doc_id", "_id", "_th", "_copies", "_k", "_n", "_text", "_look", "_ids"]
-    kinds = [pa.int64()] * 6 + [pa.string()] * 2 + [pa.binary()]
-    schema = "doc_id long, _id long, _th long, _copies long, _k long, _n long, _text string, _look string, _ids binary"
+    names = ["doc_id", "_id", "_th", "_copies", "_k", "_n", "_text", "_look"]
+    kinds = [pa.int64()] * 6 + [pa.string()] * 2
+    schema = "doc_id long, _id long, _th long, _copies long, _k long, _n long, _text string, _look string"
+    out_schema = "doc_id long, ids array<int>, n_chunks long"
     key = ["_id", "_th"]
 
     def stretches(batch: pa.RecordBatch) -> Iterator[tuple[dict, Chunk]]:
@@ -221,10 +237,10 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key(), F.lit(1).cast("long").alias("_copies"))
     short = F.coalesce(F.length("text"), F.lit(0)) < chunk  # one more for the blank in front
-    one = base.filter(short).mapInArrow(cut, schema).select("doc_id", F.col("_n").alias("n_chunks"), "_ids")
+    one = base.filter(short).select("doc_id", "text").mapInArrow(spell_short, out_schema)
     # long rows equal in id and text are encoded once and come back as often as they were
     long_rows = base.filter(~short).groupBy("doc_id", "_id", "_th").agg(F.first("text").alias("text"), F.sum("_copies").alias("_copies"))
-    chunks = long_rows.mapInArrow(cut, schema).drop("_ids").repartition("_id", "_th", "_k")
+    chunks = long_rows.mapInArrow(cut, schema).repartition("_id", "_th", "_k")
     kk = "_id long, _th long, _k long"
     block_of = F.floor(F.col("_k") / block).alias("_block")
     ms = chunks.mapInArrow(matrices, f"{kk}, m binary").select("*", block_of)
@@ -244,11 +260,9 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
     def unpack(batches):
         for b in batches:
             raw = [x or b"" for x in b.column("_ids").to_pylist()]
-            offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in raw)]), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, b.column("n_chunks")], names=["doc_id", "ids", "n_chunks"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed(raw), b.column("n_chunks")], names=["doc_id", "ids", "n_chunks"])
 
-    return one.unionByName(many).mapInArrow(unpack, "doc_id long, ids array<int>, n_chunks long")
+    return one.unionByName(many.mapInArrow(unpack, out_schema))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -262,11 +276,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for b in batches:
             out = []
             for ids in b.column("ids"):
-                data = b"".join([texts[i] for i in ids.values.to_numpy()]) if ids.is_valid else b""
+                data = b"".join(map(texts.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b""
                 out.append((data[1:] if data[:1] == b" " else data).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "text"])
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
     rows = encoded.drop("text")
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("text", StringType())]))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.base import bound_batches
+from fieldlens.llm.base import prepare
 from fieldlens.llm.sentencepiece_scan import MODEL
 from fieldlens.llm.unigram import SCALE, marked, model_bytes, vocabulary
 
@@ -24,7 +24,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL) -> DataFrame:
     is passed on; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    prepare(spark)
     held = spark.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ SCALE = 100
 #: What an unknown character costs below the lowest score; fixed value of the file format's library.
 UNKNOWN_PENALTY = 10
 #: Distinct words remembered per Python worker; a full memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Below any score.
 LOWEST = -(1 << 60)
 
