@@ -54,38 +54,28 @@ class Chunk:
             self.head, self.middle, self.tail = whole, [], ""
         else:
             self.head, self.tail = whole[: self.head_end], whole[self.tail_at :]
-            self.middle = vocab.words(whole[self.head_end : self.tail_at])
+            self.middle = parts[edges.index(self.head_end) + 1 : edges.index(self.tail_at) + 1]
 
-    def outs(self, starts: dict[int, float]) -> np.ndarray:
-        """Best score at every leaving state, given scores of entering states."""
+    def outs(self, entering: int) -> np.ndarray:
+        """Best score at every leaving state from one entering state, in a chunk without a cut."""
         out = np.full(self.states, NONE)
-        inside = {i: s for i, s in starts.items() if i <= self.n}
-        for i, s in starts.items():  # a piece may cover a short chunk and reach beyond it
-            if i > self.n:
-                out[i - self.n] = max(out[i - self.n], s)
-        if inside:
-            if self.tail_at is None:
-                best = self.vocab.forward(self.head, inside, self.n)[0]
-                ends = best[self.n : self.n + self.states]
-            else:
-                score = self.vocab.forward(self.head, inside, self.head_end)[0][self.head_end]
-                score += sum([c[0] for c in self.vocab.costs(self.middle)])
-                room = self.n - self.tail_at
-                ends = self.vocab.forward(self.tail, {0: score}, room)[0][room : room + self.states]
-            for j, s in enumerate(ends):
-                if s is not None and s > out[j]:
-                    out[j] = s
+        if entering > self.n:  # a piece may cover a short chunk and reach beyond it
+            out[entering - self.n] = 0
+            return out
+        ends = self.vocab.forward(self.head, {entering: 0}, self.n)[0][self.n : self.n + self.states]
+        for j, s in enumerate(ends):
+            if s is not None:
+                out[j] = s
         return out
 
     def matrix(self) -> np.ndarray:
+        """Best scores between the states, up to a constant of the chunk: what every path has in common, the stretch
+        between the first and the last cut, decides nothing and is left out."""
         if self.tail_at is None:
-            return np.stack([self.outs({i: 0}) for i in range(self.states)])
-        # every state that comes in goes on from the first cut in the same way
+            return np.stack([self.outs(i) for i in range(self.states)])
         room = self.n - self.tail_at
         ends = self.vocab.forward(self.tail, {0: 0}, room)[0][room : room + self.states]
-        on = np.full(self.states, NONE)
-        middle = sum([c[0] for c in self.vocab.costs(self.middle)])
-        on[[j for j, e in enumerate(ends) if e is not None]] = [e + middle for e in ends if e is not None]
+        on = np.array([NONE if e is None else e for e in ends] + [NONE] * (self.states - len(ends)))
         heads = [self.vocab.forward(self.head, {i: 0}, self.head_end)[0][self.head_end] for i in range(self.states)]
         return np.stack([on + h for h in heads])
 
