@@ -28,7 +28,7 @@ def _subset(metadata: DataFrame, keys: DataFrame | None, subset_key: str) -> Dat
 def fetch_images(
     metadata: DataFrame, dataset_path: str, cache_path: str | None = None, subset_list: DataFrame | None = None,
     subset_key: str = "acceptedTaxonKey", num_images_per_category: int = 0, request_timeout: float = 30,
-    random_seed: int = 42, num_workers: int = 8, opener: files.Opener = files.url_opener,
+    random_seed: int = 42, num_workers: int | None = None, opener: files.Opener = files.url_opener,
 ) -> DataFrame:
     plan = _subset(metadata, subset_list, subset_key)
     if num_images_per_category > 0:

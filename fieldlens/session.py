@@ -66,6 +66,9 @@ _fallback: dict[str, str] = {}
 
 
 def _fallback_dir(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("name a folder that all hosts share in spark.checkpoint.dir; a temporary one is for local sessions")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="fieldlens-")
