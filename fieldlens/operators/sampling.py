@@ -90,11 +90,11 @@ def _quotas(classes: DataFrame, category: str, size: str, eligible, fraction: fl
         classes.withColumn("_e", eligible & (F.col(size) > 0))
         .withColumn("_tot", total.cast("long"))
         .withColumn("_want", wanted.cast("long"))
-        .withColumn("_base", F.when(F.col("_e"), F.expr(f"(_want * {size}) div _tot")).otherwise(F.lit(0).cast("long")))
-        .withColumn("_rem", F.when(F.col("_e"), F.expr(f"(_want * {size}) % _tot")).otherwise(F.lit(-1).cast("long")))
+        .withColumn("_base", F.when(F.col("_e"), F.expr(f"(cast(_want AS decimal(38,0)) * {size}) div _tot")).otherwise(F.lit(0).cast("long")))
+        .withColumn("_rem", F.when(F.col("_e"), F.expr(f"cast((cast(_want AS decimal(38,0)) * {size}) % _tot AS bigint)")).otherwise(F.lit(-1).cast("long")))
     )
     given = shares.agg(F.sum("_base")).scalar()
-    bucket = F.when(F.col("_e"), F.expr("((_tot - _rem) * 4096) div _tot")).otherwise(F.lit(8192).cast("long"))
+    bucket = F.when(F.col("_e"), F.expr("(cast(_tot - _rem AS decimal(38,0)) * 4096) div _tot")).otherwise(F.lit(8192).cast("long"))
     placed = ranked(shares, [], [F.col("_rem").desc(), F.col(category)], bucket, "_r")
     extra = F.when(F.col("_e") & (F.col("_r") <= F.col("_want") - given), 1).otherwise(0)
     return placed.withColumn(out, F.col("_base") + extra).drop("_e", "_tot", "_want", "_base", "_rem", "_r")
