@@ -52,19 +52,17 @@ def _dets(t):
     return t.det_boxes.withColumn("label", F.lit(1))
 
 
-@query("small_box_filter", DET + "SELECT image, box_id, x1, y1, x2, y2 FROM det_boxes WHERE x2 - x1 >= 60 AND y2 - y1 >= 55")
+@query("small_box_filter", DET + "SELECT image, box_id, x1, y1, x2, y2 FROM det_boxes WHERE x2 - x1 >= 55 AND y2 - y1 >= 55")
 def small_box_filter(t):
-    b = t.det_boxes.filter("x2 - x1 >= 60").select("image", "box_id", "x1", "y1", "x2", "y2")
-    return filters.small_box_filter(b, 55)
+    return filters.small_box_filter(t.det_boxes.select("image", "box_id", "x1", "y1", "x2", "y2"), 55)
 
 
 @query("small_crop_filter", with_views("annotation_items") + """
-SELECT conv_id, pos FROM annotation_items WHERE NOT (floor(width / 100 * 1280) < 200 AND floor(height / 100 * 720) < 120)""")
+SELECT conv_id, pos FROM annotation_items WHERE NOT (floor(width / 100 * 1280) < 120 AND floor(height / 100 * 720) < 120)""")
 def small_crop_filter(t):
-    crops = t.annotation_items.select("conv_id", "pos", (F.col("width") / 100 * 1280).alias("w"), (F.col("height") / 100 * 1200).alias("h"),
-                                      F.lit(1).alias("iw"), F.lit(1).alias("ih"))
-    scaled = crops.withColumn("h", F.col("h") * 720 / 1200 * 200 / 120)
-    return filters.small_crop_filter(scaled, 200, image_width="iw", image_height="ih").select("conv_id", "pos")
+    crops = t.annotation_items.select("conv_id", "pos", (F.col("width") / 100).alias("w"), (F.col("height") / 100).alias("h"),
+                                      F.lit(1280).alias("image_width"), F.lit(720).alias("image_height"))
+    return filters.small_crop_filter(crops, 120).select("conv_id", "pos")
 
 
 @query("topk_boxes", DET + """
@@ -195,15 +193,16 @@ def mean_average_precision(t):
 
 
 @query("nested_regroup", DET + """
-SELECT image, CAST(0 AS BIGINT) AS part, count(*) AS n, string_agg(concat_ws(' ', x1, y1, x2, y2), ';' ORDER BY score DESC, box_id) AS boxes FROM det_boxes GROUP BY image""")
+SELECT image, CAST(0 AS BIGINT) AS start, count(*) AS n, string_agg(concat_ws(' ', x1, y1, x2, y2), ';' ORDER BY score DESC, box_id) AS boxes FROM det_boxes GROUP BY image""")
 def nested_regroup(t):
     lines = F.array_join(F.transform("boxes", lambda b: F.array_join(F.transform(b, lambda v: v.cast("string")), " ")), ";")
-    return matching.nested_regroup(_dets(t)).select("image", "part", F.size("scores").cast("long").alias("n"), lines.alias("boxes"))
+    return matching.nested_regroup(_dets(t)).select("image", "start", F.size("scores").cast("long").alias("n"), lines.alias("boxes"))
 
 
-FRAMES = with_views("frame_boxes", recursive=True) + f""",
+FEATURES = """,
  f_ AS MATERIALIZED (SELECT b.*, list_transform(e.embedding, lambda v: greatest(CAST(v AS DOUBLE), 0)) AS feature FROM frame_boxes b
-        JOIN embeddings e ON e.vec_id = b.box_id % (SELECT count(*) FROM embeddings) WHERE class = 'moth'),
+        JOIN embeddings e ON e.vec_id = b.box_id % (SELECT count(*) FROM embeddings) WHERE class = 'moth')"""
+FRAMES = with_views("frame_boxes", recursive=True) + FEATURES + f""",
  cost_ AS MATERIALIZED (SELECT c.deployment, c.frame, c.box_id AS cur, p.box_id AS prev,
      (1 - list_dot_product(p.feature, c.feature) / (sqrt(list_dot_product(p.feature, p.feature)) * sqrt(list_dot_product(c.feature, c.feature)))) + (1 - {_iou_sql('p', 'c', True)})
      + (1 - least({AREA.format(b='p', p=' + 1')}, {AREA.format(b='c', p=' + 1')}) / greatest({AREA.format(b='p', p=' + 1')}, {AREA.format(b='c', p=' + 1')}))
@@ -229,7 +228,7 @@ def _frames(t):
     return t.frame_boxes.withColumn("vec_id", F.col("box_id") % n).join(features, "vec_id").drop("vec_id")
 
 
-@query("cosine_similarity", FRAMES + """
+@query("cosine_similarity", with_views("frame_boxes") + FEATURES + """
 SELECT c.box_id AS cur, p.box_id AS prev, round(list_dot_product(p.feature, c.feature) / (sqrt(list_dot_product(p.feature, p.feature)) * sqrt(list_dot_product(c.feature, c.feature))), 6) AS cosine
 FROM f_ c JOIN f_ p ON p.box_id + 4 = c.box_id""")
 def cosine_similarity(t):
@@ -246,7 +245,7 @@ def tracking_cost(t):
 
 @query("frame_assignment", ASSIGN + "SELECT deployment, frame, cur, prev, round(cost, 6) AS cost FROM link_")
 def frame_assignment(t):
-    return tracking.frame_assignment(tracking.frame_pairs(_frames(t))).withColumn("cost", F.round("cost", 6))
+    return tracking.frame_assignment(_frames(t)).withColumn("cost", F.round("cost", 6))
 
 
 @query("track_ids", ASSIGN + """,
@@ -259,7 +258,7 @@ SELECT b.deployment, b.frame, b.box_id, coalesce(CAST(n.track_id AS VARCHAR), 'N
 FROM frame_boxes b LEFT JOIN chain_ c ON c.box_id = b.box_id LEFT JOIN num_ n ON n.root = c.root LEFT JOIN up_ u ON u.cur = b.box_id LEFT JOIN f_ p ON p.box_id = u.prev""")
 def track_ids(t):
     boxes = _frames(t)
-    links = tracking.frame_assignment(tracking.frame_pairs(boxes), 1.7)
+    links = tracking.frame_assignment(boxes, 1.7)
     out = tracking.export_tracks(tracking.track_ids(boxes, links))
     return out.select("deployment", "frame", "box_id", "track_id", "centre_x", "centre_y", "prev_x", "prev_y")
 

@@ -47,7 +47,7 @@ def _flat(df, column, out="p"):
         "vec_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias(out))
 
 
-@query("softmax", PROBS + "SELECT vec_id, u.i - 1 AS i, round(probs[u.i], 6) AS p FROM probs, (SELECT unnest(range(1, 11)) AS i) u")
+@query("softmax", PROBS + "SELECT vec_id, u - 1 AS i, round(probs[u], 6) AS p FROM (SELECT *, unnest(range(1, len(probs) + 1)) AS u FROM probs) q")
 def softmax(t):
     return _flat(t.logits.select("vec_id", arrays.softmax("logits").alias("probs")), "probs")
 
@@ -55,13 +55,13 @@ def softmax(t):
 @query("class_mask", with_views("logits") + """,
  m_ AS (SELECT vec_id, list_transform(logits, lambda z, i: CASE WHEN (i - 1) % 3 <> 1 THEN z ELSE '-inf'::DOUBLE END) AS z FROM logits),
  e_ AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM m_)
-SELECT vec_id, u.i - 1 AS i, round(e[u.i] / list_sum(e), 6) AS p FROM e_, (SELECT unnest(range(1, 11)) AS i) u""")
+SELECT vec_id, u - 1 AS i, round(e[u] / list_sum(e), 6) AS p FROM (SELECT *, unnest(range(1, len(e) + 1)) AS u FROM e_) q""")
 def class_mask(t):
-    masked = arrays.class_mask("logits", [i for i in range(10) if i % 3 != 1])
+    masked = arrays.class_mask("logits", [i for i in range(ClassTaxonomy(t.class_taxonomy).width) if i % 3 != 1])
     return _flat(t.logits.select("vec_id", arrays.softmax(masked).alias("probs")), "probs")
 
 
-@query("temperature_scale", with_views("logits") + "SELECT vec_id, u.i - 1 AS i, round(logits[u.i] / 0.9208e0, 6) AS z FROM logits, (SELECT unnest(range(1, 11)) AS i) u")
+@query("temperature_scale", with_views("logits") + "SELECT vec_id, u - 1 AS i, round(logits[u] / 0.9208e0, 6) AS z FROM (SELECT *, unnest(range(1, len(logits) + 1)) AS u FROM logits) q")
 def temperature_scale(t):
     return _flat(t.logits.select("vec_id", arrays.temperature_scale("logits", 0.9208).alias("z")), "z", "z")
 

@@ -41,26 +41,15 @@ def log_sum_exp(logits: str | Column) -> Column:
 
 
 def class_mask(logits: str | Column, keep: Sequence[int]) -> Column:
-    """Logits with -inf outside the kept class ids."""
-    kept = constant(sorted(keep), "array<int>")
+    """Logits with -inf outside the kept class ids: one lookup in a constant 0/1 vector per class."""
+    wanted = set(keep)
+    flags = constant([1 if i in wanted else 0 for i in range(max(wanted, default=-1) + 1)], "array<int>")
     return let(
-        kept,
-        lambda k: F.transform(
-            _c(logits), lambda v, i: F.when(F.array_contains(k, i), v).otherwise(F.lit(float("-inf")))
-        ),
+        flags,
+        lambda f: F.transform(_c(logits), lambda v, i: F.when(F.get(f, i) == 1, v).otherwise(F.lit(float("-inf")))),
     )
 
 
-def mask_flags(keep: Sequence[int], width: int) -> Column:
-    """Constant 0/1 vector for wide heads: one lookup per class instead of a search in the keep list."""
-    wanted = set(keep)
-    return constant([1 if i in wanted else 0 for i in range(width)], "array<int>")
-
-
-def class_mask_flags(logits: str | Column, flags: Column) -> Column:
-    return F.zip_with(_c(logits), flags, lambda v, f: F.when(f == 1, v).otherwise(F.lit(float("-inf"))))
-
-
 def temperature_scale(logits: str | Column, temperature: float) -> Column:
     return F.transform(_c(logits), lambda v: v / F.lit(float(temperature)))
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions import arrays
 
+#: An optimum of 1/T below this counts as none: the labels do not follow the logits at any temperature.
+MIN_BETA = 1e-6
+
 
 def reliability_rows(logits: DataFrame, bins: int = 10, temperature: float = 1.0) -> DataFrame:
     """Share, mean confidence and accuracy per confidence bin (lo, hi]."""
@@ -41,14 +46,16 @@ def _moments(beta: Column) -> tuple[Column, Column, Column]:
     return probs, mean, square
 
 
-def tune_temperature(logits: DataFrame, initial_t: float = 1.5, max_steps: int = 50, tol: float = 1e-10) -> float:
+def tune_temperature(logits: DataFrame, initial_t: float = 1.5, max_steps: int = 200, tol: float = 1e-10) -> float:
     """Temperature minimising the mean negative log likelihood, four decimals.
 
-    Newton steps on 1/T, where the loss is convex; each step is one aggregate that brings two numbers back.
+    Newton steps on 1/T, where the loss is convex; each step is one aggregate that brings two numbers back. The
+    signs of the slopes bracket the optimum, and a step out of the bracket halves it (or doubles 1/T while there
+    is no upper end). Raises where there is no row, or no finite optimum is reached.
     """
     held = logits.select("logits", "label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        beta = 1.0 / initial_t
+        beta, low, high = 1.0 / initial_t, 0.0, math.inf
         for _ in range(max_steps):
             probs, mean, square = _moments(F.lit(beta))
             step = (
@@ -56,14 +63,17 @@ def tune_temperature(logits: DataFrame, initial_t: float = 1.5, max_steps: int =
                 .agg(F.avg(F.col("m") - F.col("zy")).alias("slope"), F.avg(F.col("s") - F.col("m") * F.col("m")).alias("curve"))
                 .first()
             )
-            if not step["curve"]:
-                break
-            move = step["slope"] / step["curve"]
-            # beta stays positive: a step past zero is cut to half way
-            beta = beta - move if beta - move > 0 else beta / 2
-            if abs(move) < tol:
-                break
-        return round(1.0 / beta, 4)
+            slope, curve = step["slope"], step["curve"]
+            if slope is None:
+                raise ValueError("no labelled rows to tune a temperature on")
+            low, high = (low, beta) if slope > 0 else (beta, high)
+            after = beta - slope / curve if curve > 0 else (beta if slope == 0 else math.inf)
+            if abs(after - beta) < tol and beta > MIN_BETA:
+                return round(1.0 / after, 4)
+            if not low < after < high:
+                after = (low + high) / 2 if high < math.inf else beta * 2
+            beta = after
+        raise ArithmeticError(f"temperature not found in {max_steps} steps; the loss has no finite optimum near 1/T = {beta}")
     finally:
         held.unpersist()
 

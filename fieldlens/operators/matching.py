@@ -217,15 +217,16 @@ def best_detection(detections: DataFrame, image: str = "image") -> DataFrame:
 def nested_regroup(boxes: DataFrame, chunk: int = 10_000) -> DataFrame:
     """Boxes, labels and scores as parallel arrays per image, best score first.
 
-    An image with more than ``chunk`` boxes continues in further rows (``part`` 0, 1, ...), so no array and
-    no task has to hold an unbounded image.
+    Every row says with ``start`` at which position of its image its arrays begin. An image with more than
+    ``chunk`` boxes continues in further rows, so no array and no task has to hold an unbounded image; readers
+    add ``start`` to positions and need not know the chunk.
     """
     placed = running_sums(boxes, ["image"], [F.desc("score"), F.col("box_id")], {"_r": F.lit(1)})
     item = F.struct(
         F.col("_r"), F.array(*COORDS).alias("box"), F.col("label"), F.col("score")
     )
     return (
-        placed.groupBy("image", F.floor((F.col("_r") - 1) / chunk).alias("part"))
+        placed.groupBy("image", (F.floor((F.col("_r") - 1) / chunk) * chunk).cast("long").alias("start"))
         .agg(F.sort_array(F.collect_list(item)).alias("_i"))
-        .select("image", "part", F.col("_i.box").alias("boxes"), F.col("_i.label").alias("labels"), F.col("_i.score").alias("scores"))
+        .select("image", "start", F.col("_i.box").alias("boxes"), F.col("_i.label").alias("labels"), F.col("_i.score").alias("scores"))
     )

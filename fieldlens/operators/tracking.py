@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from fieldlens.functions import arrays
 from fieldlens.functions import boxes as bx
@@ -19,22 +18,15 @@ def frame_pairs(
     boxes: DataFrame,
     weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0),
     diagonal: float = 1000.0,
-    max_boxes_per_frame: int = 1000,
 ) -> DataFrame:
     """(deployment, frame, cur, prev, cost) for moth boxes of consecutive frames, met on the frame number.
 
-    A frame is one photograph and an optimal assignment weighs every pair of two photographs, so the number
-    of boxes in a frame is checked first: a frame above the bound fails the job instead of being cut.
+    This is the cost table itself; ``frame_assignment`` needs no pairs.
     """
     moths = boxes.filter(F.col("class") == "moth")
-    crowd = moths.groupBy("deployment", "frame").agg(F.count("*").alias("_n"))
-    checked = moths.join(crowd, ["deployment", "frame"]).filter(
-        F.when(F.col("_n") > max_boxes_per_frame, F.raise_error(F.lit("frame holds more boxes than max_boxes_per_frame")).cast("boolean"))
-        .otherwise(True)
-    )
     cols = [*COORDS, "feature", "box_id"]
-    cur = checked.select("deployment", "frame", *[F.col(c).alias(f"b_{c}") for c in cols])
-    prev = checked.select("deployment", (F.col("frame") + 1).alias("frame"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    cur = moths.select("deployment", "frame", *[F.col(c).alias(f"b_{c}") for c in cols])
+    prev = moths.select("deployment", (F.col("frame") + 1).alias("frame"), *[F.col(c).alias(f"a_{c}") for c in cols])
     cosine = arrays.cosine_similarity("a_feature", "b_feature")
     return cur.join(prev, ["deployment", "frame"]).select(
         "deployment", "frame", F.col("b_box_id").alias("cur"), F.col("a_box_id").alias("prev"),
@@ -83,24 +75,63 @@ def solve_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if flipped else pairs
 
 
-def _assign_frames(frames: pd.Series) -> pd.Series:
-    out = []
-    for pairs in frames:
-        cur = sorted({p["cur"] for p in pairs})
-        prev = sorted({p["prev"] for p in pairs})
-        row, col = {v: i for i, v in enumerate(cur)}, {v: i for i, v in enumerate(prev)}
-        cost = np.zeros((len(cur), len(prev)))
-        for p in pairs:
-            cost[row[p["cur"]], col[p["prev"]]] = p["cost"]
-        out.append([{"cur": cur[i], "prev": prev[j], "cost": cost[i, j]} for i, j in solve_assignment(cost)])
-    return pd.Series(out)
-
-
-def frame_assignment(pairs: DataFrame, cost_threshold: float = 10000.0) -> DataFrame:
-    """Links of the cheapest one-to-one assignment per frame pair; a link at or above the threshold is cut."""
-    assign = pandas_udf(_assign_frames, "array<struct<cur:bigint,prev:bigint,cost:double>>")
-    packed = pairs.groupBy("deployment", "frame").agg(F.collect_list(F.struct("cur", "prev", "cost")).alias("_p"))
-    links = packed.select("deployment", "frame", F.explode(assign("_p")).alias("l")).select("deployment", "frame", "l.*")
+def cost_matrix(
+    cur: tuple[np.ndarray, np.ndarray], prev: tuple[np.ndarray, np.ndarray], weights: tuple[float, float, float, float], diagonal: float
+) -> np.ndarray:
+    """The costs of ``frame_pairs`` between two photographs, each given as corners (n x 4) and features (n x d)."""
+    (b, fb), (a, fa) = cur, prev
+    b, a = b[:, None, :], a[None, :, :]
+
+    def area(v: np.ndarray) -> np.ndarray:
+        return (v[..., 2] - v[..., 0] + 1) * (v[..., 3] - v[..., 1] + 1)
+
+    inter = np.prod([np.maximum(0, np.minimum(b[..., i + 2], a[..., i + 2]) - np.maximum(b[..., i], a[..., i]) + 1) for i in (0, 1)], axis=0)
+    # halves go up, as in SQL; the inner rounding keeps a half that the division left just below
+    iou = np.floor(np.round(inter / (area(a) + area(b) - inter) * 100, 9) + 0.5) / 100
+    ratio = np.minimum(area(a), area(b)) / np.maximum(area(a), area(b))
+    shift = [(b[..., i] + b[..., i + 2]) / 2 - (a[..., i] + a[..., i + 2]) / 2 for i in (0, 1)]
+    cosine = fb @ fa.T / (np.linalg.norm(fb, axis=1)[:, None] * np.linalg.norm(fa, axis=1)[None, :])
+    parts = (1 - cosine, 1 - iou, 1 - ratio, np.hypot(*shift) / diagonal)
+    return sum(w * p for w, p in zip(weights, parts, strict=True))
+
+
+def frame_assignment(
+    boxes: DataFrame,
+    cost_threshold: float = 10000.0,
+    weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0),
+    diagonal: float = 1000.0,
+) -> DataFrame:
+    """(deployment, frame, cur, prev, cost): the cheapest one-to-one links of the moths of consecutive frames; a
+    link at or above the threshold is cut.
+
+    Every box goes once to its own frame and once to the next, so two photographs meet as n + m rows in one
+    shuffle; their n x m costs exist only as a matrix inside the task. All boxes need features of one length.
+    """
+
+    def assign(key: tuple, table: pa.Table) -> pa.Table:
+        earlier = table.column("_earlier").to_numpy()
+        sides = []
+        for side in (table.filter(~earlier).sort_by("box_id"), table.filter(earlier).sort_by("box_id")):
+            corners = np.stack([side.column(c).to_numpy().astype(float) for c in COORDS], axis=1)
+            features = side.column("feature").combine_chunks()
+            width = len(features.flatten()) // max(len(side), 1)
+            sides.append((side.column("box_id").to_pylist(), (corners, features.flatten().to_numpy().reshape(len(side), width))))
+        (cur, cur_values), (prev, prev_values) = sides
+        links = []
+        if cur and prev:
+            cost = cost_matrix(cur_values, prev_values, weights, diagonal)
+            links = [(cur[i], prev[j], float(cost[i, j])) for i, j in solve_assignment(cost)]
+        columns = list(zip(*links, strict=True)) if links else [(), (), ()]
+        deployment, frame = (pa.array([k.as_py()] * len(links), pa.int64()) for k in key)
+        ids = [pa.array(c, pa.int64()) for c in columns[:2]]
+        return pa.table([deployment, frame, *ids, pa.array(columns[2], pa.float64())], names=["deployment", "frame", "cur", "prev", "cost"])
+
+    roles = F.array(*[F.struct((F.col("frame") + d).alias("frame"), F.lit(d == 1).alias("_earlier")) for d in (0, 1)])
+    feature = F.col("feature").cast("array<double>").alias("feature")
+    met = boxes.filter(F.col("class") == "moth").select(
+        F.col("deployment").cast("long").alias("deployment"), F.explode(roles).alias("_r"), F.col("box_id").cast("long").alias("box_id"), *COORDS, feature
+    ).select("deployment", F.col("_r.frame").cast("long").alias("frame"), "_r._earlier", "box_id", *COORDS, "feature")
+    links = met.groupBy("deployment", "frame").applyInArrow(assign, "deployment long, frame long, cur long, prev long, cost double")
     return links.filter(F.col("cost") < cost_threshold)
 
 

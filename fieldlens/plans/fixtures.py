@@ -111,10 +111,6 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id, CASE WHEN quality = 1 THEN 'Moth' ELSE 'Non-Moth' END AS gt,
                CASE WHEN toxic = 0 THEN 'Moth' ELSE 'Non-Moth' END AS pred, (doc_id * 37) % 101 AS conf
         FROM labels"""),
-    "class_taxonomy": (("embeddings",), """
-        SELECT DISTINCT label AS class_id, concat('sp', CAST(label AS STRING)) AS species,
-               concat('g', CAST(label % 4 AS STRING)) AS genus, concat('f', CAST(label % 2 AS STRING)) AS family
-        FROM embeddings"""),
     # one annotation task per conversation, one item per turn; rev marks items the reviewer kept
     "annotation_items": (("conversations",), """
         SELECT conv_id, turn AS pos, CAST(floor(turn / 2) AS BIGINT) AS item_id,
@@ -157,20 +153,27 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders"""),
 }
 
+# every value of the vector is the score of one class
 _LOGITS_SPARK = """
-    SELECT vec_id, transform(slice(embedding, 1, 10), (x, i) -> CAST(x AS DOUBLE) * 10
+    SELECT vec_id, transform(embedding, (x, i) -> CAST(x AS DOUBLE) * 10
            + CASE WHEN i = label AND vec_id % 3 <> 0 THEN 4.0D ELSE 0.0D END) AS logits, label FROM embeddings"""
 _LOGITS_ORACLE = """
-    SELECT vec_id, list_transform(embedding[1:10], lambda x, i: CAST(x AS DOUBLE) * 10
+    SELECT vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * 10
            + CASE WHEN i - 1 = label AND vec_id % 3 <> 0 THEN 4.0 ELSE 0.0 END) AS logits, label FROM embeddings"""
+# one class per position of the vectors
+_CLASSES_SPARK = "SELECT explode(sequence(0, max(size(embedding)) - 1)) AS class_id FROM {embeddings}"
+_CLASSES_ORACLE = "SELECT CAST(unnest(range(0, max(len(embedding)))) AS INTEGER) AS class_id FROM embeddings"
+_TAXA = """
+    SELECT class_id, concat('sp', CAST(class_id AS STRING)) AS species, concat('g', CAST(class_id % 16 AS STRING)) AS genus,
+           concat('f', CAST(class_id % 4 AS STRING)) AS family FROM ("""
 # softmax, rounded ranks and the true taxon, shared by the evaluation oracles
 _PROBS_ORACLE = """
     SELECT vec_id, label, list_transform(e, lambda v: v / list_sum(e)) AS probs
     FROM (SELECT vec_id, label, list_transform(logits, lambda z: exp(z - list_max(logits))) AS e FROM logits) q"""
 _EVAL_ORACLE = """
-    SELECT p.vec_id, p.label, u.i - 1 AS class_id, p.probs[u.i] AS p, round(p.probs[u.i], 3) AS p3,
-           row_number() OVER (PARTITION BY p.vec_id ORDER BY p.probs[u.i] DESC, u.i) AS pos
-    FROM probs p, (SELECT unnest(range(1, 11)) AS i) u"""
+    SELECT vec_id, label, u - 1 AS class_id, probs[u] AS p, round(probs[u], 3) AS p3,
+           row_number() OVER (PARTITION BY vec_id ORDER BY probs[u] DESC, u) AS pos
+    FROM (SELECT *, unnest(range(1, len(probs) + 1)) AS u FROM probs) q"""
 _RANKED_ORACLE = """
     SELECT vec_id, level, gt, pred, conf, row_number() OVER (PARTITION BY vec_id, level ORDER BY conf DESC, first_pos) AS rk
     FROM (SELECT e.vec_id, lv.level,
@@ -183,6 +186,7 @@ _RANKED_ORACLE = """
 
 _ORACLE_ONLY = {
     "logits": (("embeddings",), _LOGITS_ORACLE),
+    "class_taxonomy": (("embeddings",), _TAXA + _CLASSES_ORACLE + ") k"),
     "probs": (("logits",), _PROBS_ORACLE),
     "evaluated": (("probs",), _EVAL_ORACLE),
     "ranked_predictions": (("evaluated", "class_taxonomy"), _RANKED_ORACLE),
@@ -269,6 +273,10 @@ class Tables:
         text = _LOGITS_SPARK.replace("FROM embeddings", "FROM {embeddings}")
         return self.spark.sql(text, embeddings=self.embeddings)
 
+    @property
+    def class_taxonomy(self) -> DataFrame:
+        return self.spark.sql(_TAXA + _CLASSES_SPARK + ") k", embeddings=self.embeddings)
+
     @property
     def tasks(self) -> DataFrame:
         """Nested annotation tasks; one task holds at most a few items per image, so the arrays stay short."""

@@ -10,14 +10,27 @@ from fieldlens.schemas import ANNOTATION_TASK
 from fieldlens.sources.jobs import write_files
 
 
+def _parsed(column: str | Column, schema: str) -> Column:
+    """A JSON text as a value; text that is not of this form fails the job instead of becoming null."""
+    return F.from_json(column, schema, {"mode": "FAILFAST"})
+
+
+def _texts(spark: SparkSession, path: str, one_document: bool) -> DataFrame:
+    """Column ``value``: each file whole, indented or not, or each of its lines, which are split; blank ones are left out."""
+    return spark.read.option("wholetext", one_document).text(path).filter(F.col("value").rlike(r"\S"))
+
+
 def map_rows(df: DataFrame, column: str, value_type: str = "string", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, value) rows of a JSON object column."""
-    return df.select(*keep, F.explode(F.from_json(column, f"map<string,{value_type}>")).alias("key", "value"))
+    return df.select(*keep, F.explode(_parsed(column, f"map<string,{value_type}>")).alias("key", "value"))
 
 
-def read_json_map(spark: SparkSession, path: str, value_type: str = "string") -> DataFrame:
-    """A {key: value} file as a lookup table; one object per file or one object per line."""
-    return map_rows(spark.read.text(path), "value", value_type)
+def read_json_map(spark: SparkSession, path: str, value_type: str = "string", one_document: bool = False) -> DataFrame:
+    """A {key: value} file as a lookup table: one object per line, or per file with ``one_document`` (indented files).
+
+    A line or file that cannot be parsed fails the job.
+    """
+    return map_rows(_texts(spark, path, one_document), "value", value_type)
 
 
 def write_json_map(df: DataFrame, key: str, value: str, path: str) -> None:
@@ -25,15 +38,16 @@ def write_json_map(df: DataFrame, key: str, value: str, path: str) -> None:
     df.select(F.to_json(F.create_map(F.col(key).cast("string"), F.col(value))).alias("value")).write.text(path)
 
 
-def read_key_list(spark: SparkSession, path: str) -> DataFrame:
+def read_key_list(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
     """A JSON array of keys as a one-column table; numbers in quotes count as numbers."""
-    listed = F.from_json("value", "array<string>")
-    return spark.read.text(path).select(F.explode(listed).alias("k")).select(F.col("k").cast("double").cast("bigint").alias("key"))
+    listed = _parsed("value", "array<string>")
+    keys = _texts(spark, path, one_document).select(F.explode(listed).alias("k"))
+    return keys.select(F.col("k").cast("double").cast("bigint").alias("key"))
 
 
 def annotation_json_scan(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
-    """Annotation tasks; ``one_document`` reads a single JSON array, line files are split."""
-    return spark.read.schema(ANNOTATION_TASK).option("multiLine", one_document).json(path)
+    """Annotation tasks; ``one_document`` reads a single JSON array, line files are split. Other forms fail."""
+    return spark.read.schema(ANNOTATION_TASK).option("multiLine", one_document).option("mode", "FAILFAST").json(path)
 
 
 def metadata_projection(*columns: str, missing: str | None = None) -> Column:
@@ -43,28 +57,38 @@ def metadata_projection(*columns: str, missing: str | None = None) -> Column:
     return F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in columns]))
 
 
-def prediction_json_scan(spark: SparkSession, path: str) -> DataFrame:
-    """One row per box of {image: [boxes, labels, scores]} files."""
-    per_image = map_rows(spark.read.text(path), "value", "array<string>")
-    zipped = F.arrays_zip(
-        F.from_json(F.col("value")[0], "array<array<double>>").alias("box"),
-        F.from_json(F.col("value")[1], "array<bigint>").alias("label"),
-        F.from_json(F.get("value", F.lit(2)), "array<double>").alias("score"),
+def prediction_json_scan(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
+    """One row per box of {image: [boxes, labels, scores]} files; scores may be missing, as in ground truth.
+
+    A fourth list holds the position at which the arrays begin in their image. Lists of unequal length, and text that
+    cannot be parsed, fail the job.
+    """
+    per_image = map_rows(_texts(spark, path, one_document), "value", "array<string>")
+    read = per_image.select(
+        F.col("key").alias("image"),
+        _parsed(F.get("value", F.lit(0)), "array<array<double>>").alias("box"),
+        _parsed(F.get("value", F.lit(1)), "array<bigint>").alias("label"),
+        _parsed(F.get("value", F.lit(2)), "array<double>").alias("score"),
+        F.coalesce(_parsed(F.get("value", F.lit(3)), "array<bigint>")[0], F.lit(0)).cast("int").alias("start"),
     )
-    rows = per_image.select(F.col("key").alias("image"), F.posexplode(zipped).alias("pos", "b"))
+    n = F.size("box")
+    scores = F.coalesce("score", F.transform("box", lambda b: F.lit(None).cast("double")))
+    same = (F.size("label") == n) & (F.size(scores) == n)
+    wrong = F.raise_error(F.concat(F.lit("lists of unequal length for image "), "image")).cast("array<double>")
+    whole = read.withColumn("score", F.when(F.coalesce(same, F.lit(False)), scores).otherwise(wrong))
+    rows = whole.select("image", "start", F.posexplode(F.arrays_zip("box", "label", "score")).alias("_p", "b"))
     return rows.select(
-        "image", "pos", *[F.col("b.box")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
+        "image", (F.col("start") + F.col("_p")).alias("pos"),
+        *[F.col("b.box")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
         F.col("b.label").alias("label"), F.col("b.score").alias("score"),
     )
 
 
 def write_prediction_json(nested: DataFrame, path: str) -> None:
-    """``nested_regroup`` rows as one single-image object per line."""
-    parts = F.concat(
-        F.lit('{"'), F.col("image").cast("string"), F.lit('": ['), F.to_json("boxes"), F.lit(", "), F.to_json("labels"),
-        F.lit(", "), F.to_json("scores"), F.lit("]}"),
-    )
-    nested.select(parts.alias("value")).write.text(path)
+    """``nested_regroup`` rows as one single-image object per line, the fourth list being the row's start."""
+    name = F.regexp_replace(F.to_json(F.array(F.col("image").cast("string"))), r"^\[|\]$", "")
+    lists = F.concat_ws(", ", F.to_json("boxes"), F.to_json("labels"), F.to_json("scores"), F.to_json(F.array("start")))
+    nested.select(F.concat(F.lit("{"), name, F.lit(": ["), lists, F.lit("]}")).alias("value")).write.text(path)
 
 
 def yolo_label_scan(spark: SparkSession, path: str) -> DataFrame:

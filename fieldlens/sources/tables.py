@@ -38,9 +38,13 @@ def dwca_scan(spark: SparkSession, multimedia: str, occurrence: str) -> tuple[Da
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A stored table. CSV values may hold line breaks; a value that does not fit its column fails the job.
+
+    Line breaks keep a CSV file from being split, so large tables are many files, as ``write_table`` leaves them.
+    """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+        return reader.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path)
     return reader.format(fmt).load(path)
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlens.catalog.sources import bmp_bytes
+from fieldlens.operators import matching
 from fieldlens.operators.scoring import LinearHead
 from fieldlens.plans import commands
 from fieldlens.sources import documents, images, jobs, shards, tables
@@ -138,6 +139,44 @@ def test_key_lists_and_tables(spark, tmp_path):
     assert documents.annotation_json_scan(spark, str(tmp_path / "tasks.json"), one_document=True).first()["data"]["image"] == "u/x.jpg"
 
 
+def test_indented_and_broken_files(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{\n  "12": 0,\n  "7": 1\n}\n')
+    (tmp_path / "keys.json").write_text('[\n  12,\n  "7"\n]\n')
+    (tmp_path / "tasks.json").write_text('[\n {"task_id": 1,\n "data": {"image": "u/x.jpg"}}\n]')
+    (tmp_path / "truth.json").write_text('{\n  "a": [\n    [[1, 2, 3, 4], [5, 6, 7, 8]],\n    [1, 0]\n  ]\n}')
+    (tmp_path / "uneven.json").write_text('{"a": [[[1, 2, 3, 4]], [1, 0], [0.5]]}')
+    path = {p.stem: str(p) for p in tmp_path.glob("*.json")}
+    assert sorted(map(tuple, documents.read_json_map(spark, path["map"], "int", one_document=True).collect())) == [("12", 0), ("7", 1)]
+    assert sorted(r[0] for r in documents.read_key_list(spark, path["keys"], one_document=True).collect()) == [7, 12]
+    truth = documents.prediction_json_scan(spark, path["truth"], one_document=True).orderBy("pos").collect()
+    assert [(r["image"], r["pos"], r["x1"], r["label"], r["score"]) for r in truth] == [("a", 0, 1.0, 1, None), ("a", 1, 5.0, 0, None)]
+    for broken in (
+        documents.read_json_map(spark, path["map"], "int"), documents.read_key_list(spark, path["keys"]),
+        documents.annotation_json_scan(spark, path["tasks"]), documents.prediction_json_scan(spark, path["truth"]),
+        documents.prediction_json_scan(spark, path["uneven"]),
+    ):
+        with pytest.raises(Exception, match="(?i)malformed|unequal"):
+            broken.collect()
+
+
+def test_large_and_oddly_named_images_come_back_whole(spark, tmp_path):
+    boxes = spark.range(10_050).select(
+        F.lit('a"b\\c').alias("image"), F.col("id").alias("box_id"), *[F.lit(float(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
+        F.lit(1).alias("label"), (1 - F.col("id") / 20_000).alias("score"))
+    documents.write_prediction_json(matching.nested_regroup(boxes), str(tmp_path / "preds"))
+    back = documents.prediction_json_scan(spark, str(tmp_path / "preds"))
+    assert tuple(back.agg(F.count("*"), F.countDistinct("image", "pos"), F.min("pos"), F.max("pos"), F.min("image")).first()) == (10_050, 10_050, 0, 10_049, 'a"b\\c')
+
+
+def test_csv_keeps_line_breaks_and_refuses_bad_values(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", 1), ("c", 2)], "name string, n int")
+    tables.write_table(df, str(tmp_path / "csv"), "csv")
+    assert tables.read_table(spark, str(tmp_path / "csv"), "name string, n int", "csv").exceptAll(df).isEmpty()
+    assert tables.read_table(spark, str(tmp_path / "csv"), "name string, n int", "csv").count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_table(spark, str(tmp_path / "csv"), "name int, n int", "csv").collect()
+
+
 def test_label_files_round_trip(spark, tmp_path, rows):
     texts = spark.createDataFrame([("a b+1", "0 0.5 0.5 0.1 0.2\n3 1 1e-05 0.25 1\n"), ("c", "1 0.1 0.2 0.3 0.4\n")], "image string, content string")
     assert documents.yolo_label_sink(texts, str(tmp_path / "labels")) == 2

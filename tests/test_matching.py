@@ -70,9 +70,9 @@ def test_curve_is_monotone(spark):
 
 def test_nested_parts(spark):
     d = spark.createDataFrame(_boxes(2, 14, 1, True), "image long, box_id long, x1 double, y1 double, x2 double, y2 double, score double")
-    parts = matching.nested_regroup(d.withColumn("label", F.lit(1)), chunk=4).filter("image = 0").orderBy("part").collect()
+    parts = matching.nested_regroup(d.withColumn("label", F.lit(1)), chunk=4).filter("image = 0").orderBy("start").collect()
     scores = [s for p in parts for s in p["scores"]]
-    assert len(parts) == 4 and len(scores) == 14 and scores == sorted(scores, reverse=True)
+    assert [p["start"] for p in parts] == [0, 4, 8, 12] and len(scores) == 14 and scores == sorted(scores, reverse=True)
 
 
 def test_assignment_is_optimal():
@@ -99,11 +99,26 @@ def test_track_chain(spark):
     assert out[10]["prev_x"] == out[0]["centre_x"] and out[0]["prev_x"] is None
 
 
-def test_crowded_frame_fails_the_job(spark):
-    boxes = spark.createDataFrame([(1, 0, i, 0, 0, 5, 5, "moth", [1.0]) for i in range(5)],
-                                  "deployment long, frame long, box_id long, x1 long, y1 long, x2 long, y2 long, class string, feature array<double>")
-    with pytest.raises(Exception, match="more boxes"):
-        tracking.frame_pairs(boxes.union(boxes.withColumn("frame", F.lit(1))), max_boxes_per_frame=4).collect()
+def test_crowded_frames_are_linked_whole(spark):
+    side = 36  # 1,296 boxes a frame, each moved by one pixel
+    rows = [(1, f, f * 10_000 + i, i % side * 40 + f, i // side * 40, i % side * 40 + f + 20, i // side * 40 + 20, "moth", [1.0, i % 7 + 1.0])
+            for f in range(2) for i in range(side * side)]
+    boxes = spark.createDataFrame(rows, "deployment long, frame long, box_id long, x1 long, y1 long, x2 long, y2 long, class string, feature array<double>")
+    links = tracking.frame_assignment(boxes).collect()
+    assert len(links) == side * side and all(r["cur"] - r["prev"] == 10_000 for r in links)
+
+
+def test_assignment_costs_are_those_of_the_pairs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        x, y = rng.randint(0, 80), rng.randint(0, 80)
+        rows.append((1, i // 6, i, x, y, x + rng.randint(5, 40), y + rng.randint(5, 40), "moth" if i % 11 else "nonmoth", [rng.random() + 0.1 for _ in range(4)]))
+    boxes = spark.createDataFrame(rows, "deployment long, frame long, box_id long, x1 long, y1 long, x2 long, y2 long, class string, feature array<double>")
+    cost = {(r["cur"], r["prev"]): r["cost"] for r in tracking.frame_pairs(boxes).collect()}
+    links = tracking.frame_assignment(boxes).collect()
+    assert links and all(r["cost"] == pytest.approx(cost[r["cur"], r["prev"]], abs=1e-9) for r in links)
+    assert tracking.frame_assignment(boxes.limit(0)).isEmpty()
 
 
 def test_hard_frames_do_not_depend_on_tiles(spark, rows):
