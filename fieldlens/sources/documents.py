@@ -17,7 +17,7 @@ def _parsed(column: str | Column, schema: str) -> Column:
 
 def _texts(spark: SparkSession, path: str, one_document: bool) -> DataFrame:
     """Column ``value``: each file whole, indented or not, or each of its lines, which are split; blank ones are left out."""
-    return spark.read.option("wholetext", one_document).text(path).filter(F.col("value").rlike(r"\S"))
+    return spark.read.text(path, wholetext=one_document).filter(F.col("value").rlike(r"\S"))
 
 
 def map_rows(df: DataFrame, column: str, value_type: str = "string", keep: tuple[str, ...] = ()) -> DataFrame:
