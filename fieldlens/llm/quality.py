@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 FEATURES = 15
+LETTERS = string.ascii_letters.encode()
 
 
 def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[int, ...]:
@@ -29,8 +31,7 @@ def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[int, ...
     n, size = len(words), len(line)
     symbols = size - len(line.translate(None, SYMBOLS))
     text = line.decode("utf-8", "replace")
-    letters = sum(map(str.isalpha, text)) if size < 4000 else sum(map(str.isalpha, text[:2000] + text[-2000:]))
-    shown = min(len(text), 4000)
+    letters = size - len(line.translate(None, LETTERS)) if line.isascii() else sum(map(str.isalpha, text))
     upper = text.upper() == text and text.lower() != text
     distinct = len(set(words))
     out = [0]
@@ -53,7 +54,7 @@ def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[int, ...
         out.append(11)
     if 5 * distinct <= 4 * n and n > 20:
         out.append(12)
-    if 2 * letters < shown:
+    if 2 * letters < len(text):
         out.append(13)
     if b"http" in line or b"@" in line:
         out.append(14)
