@@ -81,11 +81,11 @@ def checklist_filter(
 def drop_all_duplicates(df: DataFrame, column: str = "identifier") -> DataFrame:
     """Rows whose value is unique in the table; nulls equal each other.
 
-    Aggregated, not windowed: copies of one value are combined before the shuffle, so a value that
-    fills a third of the table costs one row per map task.
+    Only the column is aggregated, so the counts stay in a hash aggregate and copies of one value are combined before
+    the shuffle; rows lose their repeated values in an anti join, whose skewed side adaptive execution can split.
     """
-    packed = df.groupBy(column).agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
-    return packed.filter(F.col("_n") == 1).select("_row.*")
+    repeated = df.groupBy(F.col(column).alias("__repeated")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__repeated")
+    return df.join(repeated, F.col(column).eqNullSafe(F.col("__repeated")), "left_anti")
 
 
 def clean_funnel(
