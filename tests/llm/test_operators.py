@@ -423,6 +423,42 @@ def test_spans_odd_rows(odd):
     assert by[1].text == "" and by[6].text == "" and by[7].n_removed == 0
 
 
+@pytest.mark.parametrize("marks", ["", ".", "\u3002", "\u061f"])
+def test_passages_inside_foreign_sentences_lose_a_run(spark, marks):
+    """Passages of 51 words, at all offsets from the start of a foreign sentence, with no mark or some inside."""
+    rng = np.random.default_rng(17)
+    words = lambda n: [f"v{k}" for k in rng.integers(10**9, size=n)]
+    rows, want = [], {}
+    for n in range(40):
+        passage = words(51)
+        if marks:
+            for k in rng.integers(4, 47, size=2):
+                passage[k] += marks
+        rows.append((2 * n, " ".join([*words(int(rng.integers(40))), *passage, *words(20)])))
+        front, back = words(n), words(int(rng.integers(30)))
+        rows.append((2 * n + 1, " ".join([*front, *passage, *back])))
+        want[2 * n + 1] = (front, passage, back)
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, (front, passage, back) in want.items():
+        kept = got[d].text.split()
+        assert [w for w in kept if w not in passage] == front + back
+        assert len(kept) <= len(front + back) + 51 - spans.WORDS
+        assert got[d - 1].n_removed == 0
+
+
+def test_cuts_of_any_sentence():
+    rng = np.random.default_rng(2)
+    for n in [*range(13, 60), 96, 97, 98, 99, 500]:
+        for kinds in (1, 2, 9, 10**6):
+            s = [f"k{k}" for k in rng.integers(kinds, size=n)]
+            at = [0, *spans.cuts(s), n]
+            assert all(0 < b - a <= spans.LONGEST for a, b in zip(at, at[1:], strict=False))
+            tail = spans.cuts(s + s[:100])  # the other way of finding them gives the same cuts
+            assert [c for c in at[1:-1] if c <= n - spans.LONGEST] == [c for c in tail if c <= n - spans.LONGEST]
+    parts = spans.sentences("\u4f60\u597d\u3002\u4e16\u754c\uff01 \u0645\u0631\u062d\u0628\u0627\u061f \u0928\u092e\u0938\u094d\u0924\u0947\u0964 end")
+    assert len(parts) == 5
+
+
 # 9 exact dedup
 
 
