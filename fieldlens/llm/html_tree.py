@@ -45,6 +45,9 @@ WORDS = frozenset(
 MAIN = frozenset(("article", "main"))
 
 
+MAIN_TEXT, WRAPPED = 1, 2
+
+
 def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
 
@@ -127,21 +130,31 @@ def parse(page: str) -> Iterator[tuple[list[int], bool, str]]:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: its style nodes with their parents, and the hashes of the texts that stand at each."""
+    """Per page: its style nodes with their parents, and the hashes of the texts that stand at each.
+
+    ``page`` becomes the hash of what the page says: of its article or main where it has one, else of all its blocks.
+    Copies of an article under other addresses, in frames of other texts or in print views share it.
+    """
     names = ["host", "page", "node", "parent", "feature"]
     for b in batches:
         rows = []
-        for host, page, source in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+        for host, source in zip(*(b.column(c).to_pylist() for c in ("host", "html")), strict=True):
             there: set[int] = set()
             texts: set[tuple[int, int, int]] = set()
-            for nodes, _, text in parse(source or ""):
+            found: list[tuple[int, str]] = []
+            begun = len(rows)
+            for nodes, place, text in parse(source or ""):
+                found.append((place, text))
                 for i in range(len(nodes) - 1, -1, -1):
                     if nodes[i] in there:
                         break
                     there.add(nodes[i])
-                    rows.append((host, page, nodes[i], nodes[i - 1] if i else 0, None))
+                    rows.append((host, nodes[i], nodes[i - 1] if i else 0, None))
                 texts.add((nodes[-1], nodes[-2] if len(nodes) > 1 else 0, xxhash.xxh64_intdigest(text) >> 1))
-            rows += [(host, page, *t) for t in texts]
+            best = next((p for p in (MAIN_TEXT, WRAPPED) if any(at == p for at, _ in found)), None)
+            page = xxhash.xxh64_intdigest("\n".join(text for at, text in found if best in (None, at))) >> 1
+            rows += [(host, *t) for t in texts]
+            rows[begun:] = [(host, page, *row) for host, *row in rows[begun:]]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
@@ -149,12 +162,16 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_trees(pages: DataFrame) -> DataFrame:
     """host, node: the branches of each host's style tree that are worth less than IMPORTANCE.
 
-    The entropy of a text over the m pages of a node, to the base m, is log k / log m if it stands once on k of them;
-    the node's content is worth one minus the mean of its texts. A node on one page is worth one.
+    The entropy of a text over the m different pages of a node, to the base m, is log k / log m if it stands once on k
+    of them; the node's content is worth one minus the mean of its texts. A node on one page is worth one. Pages that
+    say the same count once in k and m, and each of them in the number of pages a node needs to be judged.
     """
     found = pages.mapInArrow(_nodes, "host string, page long, node long, parent long, feature long")
+    found = found.groupBy("host", "page", "node", "parent", "feature").agg(F.count("*").alias("copies"))
     found = materialized(found, "page-nodes")
-    per_node = found.filter("feature is null").groupBy("host", "node", "parent").agg(F.count("*").alias("m"))
+    per_node = (
+        found.filter("feature is null").groupBy("host", "node", "parent").agg(F.count("*").alias("m"), F.sum("copies").alias("pages"))
+    )
     per_text = found.filter("feature is not null").groupBy("host", "node", "feature").agg(F.count("*").alias("k"))
     content = (
         per_text.join(per_node.select("host", "node", "m"), ["host", "node"]).groupBy("host", "node")
@@ -192,7 +209,7 @@ def site_trees(pages: DataFrame) -> DataFrame:
                 own = max(own, (1 - keep) * variety + keep * inner)
             value[node] = own
             # a branch goes only as a whole: nothing below it may be worth keeping
-            if own < IMPORTANCE and r.m >= FEWEST_PAGES and low.issuperset(below):
+            if own < IMPORTANCE and r.pages >= FEWEST_PAGES and low.issuperset(below):
                 low.add(node)
         hosts = pd.Series([str(g["host"].iloc[0])] * len(low), dtype=object)
         return pd.DataFrame({"host": hosts, "node": pd.Series(sorted(low), dtype="int64")})
@@ -203,23 +220,23 @@ def site_trees(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
-    Null and empty html give an empty text. If a page has an article or main element, its blocks inside are the
-    candidates, else all of them. Pages without a host share one tree. Rows repeated under one page_id are answered
+    Null and empty html give an empty text. If a page has an article or main element, its blocks inside are the text,
+    however often they stand on the host; else the blocks the style tree leaves are. An article inside a wrapper whose
+    name would drop it counts as text of a page that has no other article. Pages without a host share one tree. Rows repeated under one page_id are answered
     each; null ids and urls are passed on; other columns are ignored; an empty table gives an empty result.
     """
     prepare(pages.sparkSession)
     base = pages.select("page_id", "url", "html", host_of().alias("host"))
-    numbered = base.select("host", F.xxhash64("page_id", "url").alias("page"), "html")
-    low = materialized(site_trees(numbered).groupBy("host").agg(F.collect_list("node").alias("low")), "site-trees")
+    low = materialized(site_trees(base.select("host", "html")).groupBy("host").agg(F.collect_list("node").alias("low")), "site-trees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for source, gone in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True):
                 drop = set(gone or ())
-                blocks = [(main, text) for nodes, main, text in parse(source or "") if not drop or drop.isdisjoint(nodes)]
-                only_main = any(main for main, _ in blocks)
-                texts.append("\n".join(text for main, text in blocks if main or not only_main))
+                blocks = [(place, text) for nodes, place, text in parse(source or "") if place or not drop or drop.isdisjoint(nodes)]
+                only_main = any(place == MAIN_TEXT for place, _ in blocks)
+                texts.append("\n".join(text for place, text in blocks if place == MAIN_TEXT or not only_main))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

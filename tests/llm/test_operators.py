@@ -518,3 +518,21 @@ def test_site_frames_go_and_odd_pages(spark):
     for i in range(12):
         assert got[i] == [f"Text {i} of page & {i * 7}\nmore of it {i} here"]
     assert got[100] == [""] and got[101] == [""] and got[102] == ["plain <text> only"] and got[103] == ["open link end"] * 2 and got[None] == ["deep"]
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_copies_of_few_articles_keep_their_text(spark, wrap):
+    """Hosts of 20 and of 1,000 copies of one to three articles, with session ids in their links."""
+    rows, want = [], {}
+    for n in (20, 1000):
+        for kinds in (1, 2, 3):
+            for i in range(n):
+                k, d = i % kinds, len(rows)
+                rows.append((d, f"http://h{n}-{kinds}.example/{i}", f"<body><div class=top><p>Our site</p></div><{wrap} class=text><h1>Title {k}</h1><p>Story {k} <a href='/?s={i}'>on</a></p></{wrap}></body>"))
+                frame = "" if wrap == "article" or kinds > 1 else "Our site\n"  # a host that says one thing has nothing to compare
+                want[d] = f"{frame}Title {k}\nStory {k} on"
+    assert extracted(spark, rows) == want
