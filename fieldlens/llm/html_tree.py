@@ -31,10 +31,16 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 #: Fixed values of HTML: elements that stand in a line, that have no content, whose content is not markup.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr input".split()
+    "time tt u var wbr input "
+    "math semantics mrow mi mn mo ms mspace mtext mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts none mtable mtr mtd maction mglyph".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes math".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes annotation annotation-xml".split())
+#: Of these an end tag may be missing for good, the rest of the page is theirs; of the others only the tag itself goes then.
+TO_THE_END = frozenset(("script", "style"))
+#: Elements of RAW that may close themselves.
+FOREIGN = frozenset(("svg", "annotation", "annotation-xml"))
 #: Elements and class words of branches that are not main text.
 ROLES = frozenset("nav footer aside form button select dialog menu head".split())
 WORDS = frozenset(
@@ -43,6 +49,36 @@ WORDS = frozenset(
     "replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN = frozenset(("article", "main"))
+#: A class word names the branch as a whole or as the leading part, as in sidebar-left, but not with a state after it, as
+#: in comments-open. At the end it does after a place of the page, as in site-nav, and not as in has-sidebar.
+STATES = frozenset("active closed disabled enabled free hidden layout less off on open visible".split())
+PLACES = frozenset("bottom entry footer global google header left main mobile page post primary right secondary site sub top".split())
+
+
+def names_frame(named: str) -> bool:
+    for token in named.lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", token) if x]
+        if parts and (parts[0] in WORDS and not STATES.intersection(parts[1:]) or len(parts) == 2 and parts[1] in WORDS and parts[0] in PLACES):
+            return True
+    return False
+
+
+def raw_ends(page: str, name: str) -> dict[int, int]:
+    """For every start tag of the element that has an end tag: where the one begins and where the other ends."""
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    nests = name in FOREIGN
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).finditer(page):
+        if not m[1]:
+            if not nests or not m[0].endswith("/>"):
+                begun.append(m.start())
+        elif begun:
+            if nests:
+                out[begun.pop()] = m.end()
+            else:  # the first end tag ends all that began before
+                out.update(dict.fromkeys(begun, m.end()))
+                begun.clear()
+    return out
 
 
 MAIN_TEXT, WRAPPED = 1, 2
@@ -52,34 +88,40 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
 
 
-def parse(page: str) -> Iterator[tuple[list[int], bool, str]]:
-    """(style nodes from the root down, inside article or main, text) of every block with text, in page order.
+def parse(page: str) -> Iterator[tuple[list[int], int, str]]:
+    """(style nodes from the root down, place, text) of every block with text, in page order.
+
+    The place is MAIN_TEXT inside article or main, WRAPPED inside one that a class word or a form would drop, else 0.
 
     The list of nodes is the parser's own and changes when it goes on. A block's text is what stands between two boundaries of block elements. Branches that are out by their role are
     not reported. A missing end tag ends with its parent; a paragraph also ends where the next block begins.
     """
-    stack: list[tuple[str, bool]] = []  # element, out by role
+    # element, out by role, out by class or as a form, article or main, the same inside one that is out by class
+    stack: list[tuple[str, int, int, int, int]] = []
     nodes = [xxhash.xxh64_intdigest("root") >> 1]
-    out_depth = main_depth = 0
+    out_depth = named_depth = main_depth = wrapped_depth = 0
     text: list[str] = []
     at, n = 0, len(page)
 
     def flush():
         words = html.unescape("".join(text)).split()
         text.clear()
-        if words and not out_depth:
-            return nodes, main_depth > 0, " ".join(words)
+        if words and not out_depth and (wrapped_depth or not named_depth):
+            return nodes, WRAPPED if named_depth else MAIN_TEXT if main_depth else 0, " ".join(words)
         return None
 
     def pop():
-        nonlocal out_depth, main_depth
-        name, out = stack.pop()
+        nonlocal out_depth, named_depth, main_depth, wrapped_depth
+        name, out, by_name, is_main, wrapped = stack.pop()
         nodes.pop()
         open_tags[name] -= 1
         out_depth -= out
-        main_depth -= name in MAIN
+        named_depth -= by_name
+        main_depth -= is_main
+        wrapped_depth -= wrapped
 
     open_tags: dict[str, int] = {}
+    ends: dict[str, dict[int, int]] = {}
     while at < n:
         m = TAG.search(page, at)
         if m is None:
@@ -92,8 +134,11 @@ def parse(page: str) -> Iterator[tuple[list[int], bool, str]]:
             continue
         name = name.lower()
         if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            if name in FOREIGN and page.endswith("/>", 0, at):
+                continue
+            if name not in ends:
+                ends[name] = raw_ends(page, name)
+            at = max(at, ends[name].get(m.start(), n if name in TO_THE_END else at))
             continue
         if name == "br":
             text.append("\n")
@@ -116,14 +161,20 @@ def parse(page: str) -> Iterator[tuple[list[int], bool, str]]:
         while stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack and name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack[-1][0] == name:
             pop()
         named = " ".join(a or b or c for a, b, c in NAMED.findall(attrs)) if attrs else ""
-        words = set(re.split(r"[^a-z]+", named.lower())) if named else set()
-        out = name in ROLES or (name == "header" and not main_depth) or bool(words & WORDS and name not in ("html", "body"))
+        # a wrapper with a frame's name may hold the article; inside that article it goes whole
+        by_name = name == "form" or bool(named) and name not in ("html", "body") and names_frame(named)
+        is_main = name in MAIN
+        out = name in ROLES and name != "form" or name == "header" and not main_depth or by_name and wrapped_depth > 0 and not is_main
+        by_name = by_name and not out and not is_main
         style = f"{name} {re.sub(r'[0-9]+', '0', named.lower())}" if named else name
-        stack.append((name, out))
+        wrapped = is_main and named_depth > 0
+        stack.append((name, out, by_name, is_main, wrapped))
         nodes.append(xxhash.xxh64_intdigest(style, seed=nodes[-1]) >> 1)
         open_tags[name] = open_tags.get(name, 0) + 1
         out_depth += out
-        main_depth += name in MAIN
+        named_depth += by_name
+        main_depth += is_main
+        wrapped_depth += wrapped
     block = flush()
     if block:
         yield block

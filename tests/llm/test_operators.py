@@ -536,3 +536,28 @@ def test_copies_of_few_articles_keep_their_text(spark, wrap):
                 frame = "" if wrap == "article" or kinds > 1 else "Our site\n"  # a host that says one thing has nothing to compare
                 want[d] = f"{frame}Title {k}\nStory {k} on"
     assert extracted(spark, rows) == want
+
+
+def test_class_words_do_not_drop_articles(spark):
+    kept = ["content-with-sidebar", "col-md-8 has-sidebar", "article-body no-ads", "post hentry comments-open category-social", "entry tag-search"]
+    gone = ["sidebar-left", "ad1", "comments", "site-nav", "social-share", "Cookie_Banner"]
+    rows = [(i, "http://a/", f"<div class='{c}'><p>inside</p></div><p>after</p>") for i, c in enumerate(kept + gone)]
+    rows += [(100 + i, "http://a/", f"<article class='{c}'><p>inside</p></article><p>after</p>") for i, c in enumerate(kept + gone)]
+    rows += [(203, "http://a/", "<main><div class=widget><article><p>inside</p></article></div></main>"), (200, "http://a/", "<div class='widget'><p>x</p><article><p>inside</p><div class=share>s</div></article></div>"),
+             (201, "http://a/", "<form><nav>n</nav><main><p>inside</p></main></form>"),
+             (202, "http://a/", "<main><p>inside</p><div class=related><article>other</article></div></main><div class=related><article>other</article></div>")]
+    want = {i: "inside\nafter" if i < len(kept) else "after" for i in range(len(kept + gone))}
+    want |= {100 + i: "inside" for i in range(len(kept + gone))} | {203: "inside", 200: "inside", 201: "inside", 202: "inside"}
+    assert extracted(spark, [(i, f"http://a{i}/", h) for i, _, h in rows]) == want
+
+
+def test_elements_without_an_end_do_not_swallow_the_page(spark):
+    cases = {
+        "<article>a <svg width='1'/> b <math/> c</article>": "a b c",
+        "<article>a <svg><g><svg/></g><svg>y</svg>x</svg> b <svg> c</article>": "a b c",
+        "<article>a <svg> b <svg>x</svg> c</article>": "a b c",
+        "<article>so <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></math> holds</article>": "so x=1 holds",
+        "<article>a <iframe src=x> b <script>x</script> c</article>": "a b c",
+        "<article>a <script>x <b>": "a",
+    }
+    assert extracted(spark, [(i, f"http://a{i}/", h) for i, h in enumerate(cases)]) == dict(enumerate(cases.values()))
