@@ -18,10 +18,14 @@ from fieldlens.operators.ordering import first_n
 DIMENSIONS = 4096
 #: Documents per language that a classifier is fitted on, chosen by a hash of doc_id among the training rows.
 SAMPLE_PER_LANG = 300
-#: Most languages that are learned, the most frequent ones; bounds the model and its training.
-MAX_LANGUAGES = 200
-#: Rows of one fit, shared by the classes that take part.
+#: Rows of one fit of a pair, and of a family where there are few languages, shared by the classes that take part.
 ROWS_PER_FIT = 1200
+#: Rows that each language gives to the fit of a family at least, however many languages there are.
+FAMILY_ROWS = 40
+#: Families fitted in one task, which read the same rows, and the most families for which each has a task of its own.
+FAMILIES_PER_TASK = 16
+#: Chosen rows, each a few dozen bytes, that are sent to every executor; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 UNKNOWN = "und"
 
 #: Families of closely related languages by code. A code that is not listed is a family of its own.
@@ -54,18 +58,24 @@ def vector(text: str) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 40) -> np.ndarray:
     """Linear SVM with squared hinge loss by dual coordinate descent; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+    return descend(np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]), np.arange(len(x)), y, cost, rounds)
+
+
+def descend(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 40) -> np.ndarray:
+    """``fit_svm`` on rows of a matrix that has the column of ones, without a copy of it; ``y`` goes with ``rows``."""
     # both classes weigh the same in all, however many rows each has
     c = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
-    alpha, w, diagonal = np.zeros(len(y)), np.zeros(x.shape[1]), (x * x).sum(axis=1) + 1 / (2 * c)
+    squares = np.concatenate([(x[rows[k : k + 1024]] ** 2).sum(axis=1) for k in range(0, len(rows), 1024)])
+    alpha, w, diagonal = np.zeros(len(y)), np.zeros(x.shape[1]), squares + 1 / (2 * c)
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * c[i])
+            xi = x[rows[i]]
+            gradient = y[i] * (xi @ w) - 1 + alpha[i] / (2 * c[i])
             new = max(0.0, alpha[i] - gradient / diagonal[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * xi
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-4:
@@ -119,31 +129,38 @@ class LanguageModel:
 def train(docs: DataFrame) -> LanguageModel:
     """Fits on at most SAMPLE_PER_LANG whole texts of each language of the rows given (text, lang, doc_id).
 
-    One task per classifier; each sees at most ROWS_PER_FIT rows. Rows without lang or without a letter are left
-    out. Only the weights, a few vectors of fixed length, come to the driver.
+    Every lang value that has a usable row is learned. A pair sees at most ROWS_PER_FIT rows, a family at least
+    FAMILY_ROWS of every language where there are so many; one task fits a pair or up to FAMILIES_PER_TASK families.
+    Rows without lang or without a letter are left out. Only the weights, a vector of fixed length for each family
+    and pair, come to the driver.
     """
     prepare(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    seen = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    names = sorted(r["lang"] for r in seen.collect())
+    names = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
     families = sorted({family_of(n) for n in names})
-    languages = {f: [n for n in names if family_of(n) == f] for f in families}
+    languages: dict[str, list[str]] = {f: [] for f in families}
+    for n in names:
+        languages[family_of(n)].append(n)
     if not names:
         return LanguageModel([], np.zeros((0, DIMENSIONS + 1)), {}, {})
-    per_family_fit = max(8, ROWS_PER_FIT // len(names))
+    per_family_fit = min(SAMPLE_PER_LANG, max(FAMILY_ROWS, ROWS_PER_FIT // len(names)))
+    together = 1 if len(families) <= FAMILIES_PER_TASK else FAMILIES_PER_TASK
+    blocks = range(0, len(families), together) if len(families) > 1 else ()
+    number = {f: k for k, f in enumerate(families)}
+    place_of = {n: k for k, n in enumerate(names)}
     h = F.xxhash64(F.lit(11), "doc_id")
     chosen = first_n(
-        usable.filter(F.col("lang").isin(names)).select("lang", "doc_id", h.alias("_h")),
+        usable.select("lang", "doc_id", h.alias("_h")),
         ["lang"], [F.col("_h"), F.col("doc_id")], F.pmod("_h", F.lit(64)), SAMPLE_PER_LANG,
     )
+    # y is the family's number in the task of a block of families, else the side of the pair
     tasks: dict[str, list[tuple[str, int, int]]] = {n: [] for n in names}
     for n in names:
-        if len(families) > 1:
-            tasks[n] += [(f"family {f}", 1 if family_of(n) == f else -1, per_family_fit) for f in families]
+        tasks[n] += [(f"families {k}", number[family_of(n)], per_family_fit) for k in blocks]
         for m in languages[family_of(n)]:
             if m != n:
                 a, b = sorted((n, m))
-                tasks[n].append((f"pair {a}\t{b}", 1 if n == a else -1, ROWS_PER_FIT // 2))
+                tasks[n].append((f"pair {place_of[a]} {place_of[b]}", 1 if n == a else -1, ROWS_PER_FIT // 2))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,22 +173,34 @@ def train(docs: DataFrame) -> LanguageModel:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("task", pa.string()), ("y", pa.int32()), ("x", pa.binary())]))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y", "x"])  # the order of arrival must not matter
-        x = np.frombuffer(b"".join(group["x"]), dtype=np.float32).reshape(len(group), DIMENSIONS)
-        w = fit_svm(x, group["y"].to_numpy(dtype=np.float64))
-        return pd.DataFrame({"task": group["task"].iloc[:1], "w": [w.astype(np.float32).tobytes()]})
+        task = str(group["task"].iloc[0])
+        group = group.sort_values(["y", "x"] if task.startswith("pair") else "x", ignore_index=True)  # the order of arrival must not matter
+        classes = group["y"].to_numpy()
+        x = np.ones((len(group), DIMENSIONS + 1), dtype=np.float32)
+        for i, one in enumerate(group["x"]):
+            x[i, :-1] = np.frombuffer(one, dtype=np.float32)
+        if task.startswith("pair"):
+            return pd.DataFrame({"task": [task], "w": [descend(x, np.arange(len(x)), classes.astype(np.float64)).astype(np.float32).tobytes()]})
+        found = []
+        first = int(task.split()[1])
+        for f in range(first, min(first + together, len(families))):
+            y = np.where(classes == f, 1.0, -1.0)
+            rows = np.argsort(y, kind="stable")
+            found.append((f"family {f}", descend(x, rows, y[rows]).astype(np.float32).tobytes()))
+        return pd.DataFrame(found, columns=["task", "w"])
 
-    # SAMPLE_PER_LANG x MAX_LANGUAGES narrow rows bound the chosen side
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    picked = F.broadcast(chosen.withColumn("place", place).select(F.col("lang").alias("_l"), F.col("doc_id").alias("_d"), "place"))
+    picked = chosen.withColumn("place", place).select(F.col("lang").alias("_l"), F.col("doc_id").alias("_d"), "place")
+    if SAMPLE_PER_LANG * len(names) <= MOST_SENT:
+        picked = F.broadcast(picked)
     rows = usable.join(picked, (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     fitted = (
         rows.select("lang", "text", "place").mapInArrow(vectors, "task string, y int, x binary")
         .groupBy("task").applyInPandas(fit, "task string, w binary")
     )
     weights = {r["task"]: np.frombuffer(r["w"], dtype=np.float32) for r in fitted.collect()}
-    family_w = np.stack([weights.get(f"family {f}", np.zeros(DIMENSIONS + 1, dtype=np.float32)) for f in families])
-    pairs = {tuple(t[5:].split("\t")): w for t, w in weights.items() if t.startswith("pair ")}
+    family_w = np.stack([weights.get(f"family {k}", np.zeros(DIMENSIONS + 1, dtype=np.float32)) for k in range(len(families))])
+    pairs = {tuple(names[int(k)] for k in t.split()[1:]): w for t, w in weights.items() if t.startswith("pair ")}
     return LanguageModel(families, family_w, languages, pairs)
 
 

@@ -95,6 +95,21 @@ def test_one_language_and_none(spark):
     assert {(r.lang_pred, r.score) for r in langid.identify(none, langid.train(none)).collect()} == {("und", 0.0)}
 
 
+def test_more_than_200_languages_are_all_learned(spark):
+    """The rarest of 215 languages have two rows each and are still answered by their own name."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for k in range(215):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 30)), f"x\t{k:03d}" if k % 7 else f"en-{k}") for i in range(3 if k < 200 else 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(table)
+    assert sum(map(len, model.languages.values())) == 215
+    got = {r.doc_id: r.lang_pred for r in langid.identify(table, model).collect()}
+    right = [got[d] == lang for d, _, lang in rows]
+    assert all(right[600:]) and sum(right) >= 0.97 * len(rows)
+
+
 # 2 mixing
 
 
