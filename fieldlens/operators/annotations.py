@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import boxes as bx
 from fieldlens.functions.arrays import let
-from fieldlens.functions.names import base_name
+from fieldlens.functions.names import base_name, file_stem, region_of_deployment
 
 
 def _effective() -> Column:
@@ -21,8 +21,11 @@ def _effective() -> Column:
 
 
 def resolve_review(tasks: DataFrame) -> DataFrame:
-    """Tasks with ``items``: the reviewer's result when a fix history exists, the annotator's otherwise."""
-    return tasks.select("task_id", "data", _effective().alias("items"))
+    """Tasks with ``items`` and their places: the reviewer's result when a fix history exists, the annotator's otherwise."""
+    placed = F.transform(
+        _effective(), lambda x, i: F.struct(i.cast("long").alias("pos"), x["id"].alias("id"), x["type"].alias("type"), x["value"].alias("value"))
+    )
+    return tasks.select("task_id", "data", placed.alias("items"))
 
 
 def _of(items: Column, kind: str) -> Column:
@@ -76,14 +79,37 @@ def yolo_lines(labels: DataFrame, categories: DataFrame) -> DataFrame:
     w, h = F.col("width"), F.col("height")
     numbers = [(F.col("x") + w / 2) / 100, (F.col("y") + h / 2) / 100, w / 100, h / 100]
     line = F.concat_ws(" ", class_id.cast("string"), *[_number(n) for n in numbers])
-    return joined.select("task_id", "image", "pos", line.alias("line"))
+    return joined.select("task_id", "image", "type", "pos", line.alias("line"))
 
 
-def yolo_files(lines: DataFrame, order: str = "task_id") -> DataFrame:
-    """(image, content): one label text per photograph; of two tasks for one photograph the later one stays."""
-    per_task = lines.groupBy("image", order).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_l"))
+def yolo_files(lines: DataFrame, tasks: DataFrame, order: str = "task_id") -> DataFrame:
+    """(image, content): one label text per photograph of ``tasks``, taxonomy lines first, empty where nothing is labelled;
+    of two tasks for one photograph the later one stays."""
+    line = F.struct((F.col("type") != "taxonomy").alias("coarse"), "pos", "line")
+    per_task = lines.groupBy(F.col(order).alias("_o")).agg(F.sort_array(F.collect_list(line)).alias("_l"))
+    named = tasks.select(order, file_stem("data.image").alias("image"))
     text = F.concat(F.array_join(F.col("_l.line"), "\n"), F.lit("\n"))
-    return per_task.groupBy("image").agg(F.max_by(text, order).alias("content"))
+    every = named.join(per_task, F.col(order) == F.col("_o"), "left").withColumn("_text", F.coalesce(text, F.lit("")))
+    return every.groupBy("image").agg(F.max_by("_text", order).alias("content"))
+
+
+def region_sidecars(tasks: DataFrame, sizes: DataFrame, order: str = "task_id") -> DataFrame:
+    """(image, content): the region and size of every photograph as indented JSON; of two tasks the later one stays.
+
+    ``sizes`` has image (the file stem), width and height. A deployment of no known region and a photograph without a
+    size fail the job.
+    """
+    region = region_of_deployment("data.deployment")
+    unknown = F.raise_error(F.concat(F.lit("no region is known of "), F.coalesce("data.deployment", F.lit("null")))).cast("string")
+    placed = tasks.select(file_stem("data.image").alias("image"), order, F.coalesce(region, unknown).alias("region"))
+    last = placed.groupBy("image").agg(F.max_by("region", order).alias("region"))
+    sized = last.join(sizes.select(F.col("image").alias("_image"), "width", "height"), F.col("image") == F.col("_image"), "left")
+    missing = F.raise_error(F.concat(F.lit("no size is known of "), "image")).cast("string")
+    fields = [
+        F.concat(F.lit('  "region": "'), "region", F.lit('"')),
+        *[F.concat(F.lit(f'  "image_{c}": '), F.coalesce(F.col(c).cast("string"), missing)) for c in ("width", "height")],
+    ]
+    return sized.select("image", F.concat(F.lit("{\n"), F.concat_ws(",\n", *fields), F.lit("\n}")).alias("content"))
 
 
 def yolo_boxes(labels: DataFrame) -> DataFrame:
@@ -149,6 +175,7 @@ def annotation_statistics(resolved: DataFrame, taxa: DataFrame, order: str = "ta
     rank_rows = ranks.select(F.explode(pairs).alias("c")).select("c.*")
 
     place = F.lit(None).cast("string")
+    # fixed values
     for name in reversed(("Panama", "UK", "Quebec", "Denmark", "Vermont")):
         place = F.when(F.col("data.deployment").contains(name), name).otherwise(place)
     placed = resolved.select(

@@ -281,7 +281,6 @@ class Tables:
     def tasks(self) -> DataFrame:
         """Nested annotation tasks; one task holds at most a few items per image, so the arrays stay short."""
         item = F.struct(
-            "pos",
             F.col("item_id").cast("string").alias("id"),
             "type",
             F.struct(
@@ -292,8 +291,8 @@ class Tables:
             ).alias("value"),
         )
         grouped = self.annotation_items.groupBy("conv_id", "has_review", "fixed").agg(
-            F.sort_array(F.collect_list(item)).alias("result"),
-            F.sort_array(F.collect_list(F.when(F.col("rev"), item))).alias("kept"),
+            F.sort_array(F.collect_list(F.struct("pos", item.alias("item"))))["item"].alias("result"),
+            F.sort_array(F.collect_list(F.when(F.col("rev"), F.struct("pos", item.alias("item")))))["item"].alias("kept"),
         )
         review = F.struct(
             F.when(F.col("fixed"), F.array(F.lit("edit"))).otherwise(F.array().cast("array<string>"))

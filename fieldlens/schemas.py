@@ -22,12 +22,12 @@ VERIFICATION = "image_path string, width int, height int, fetch_date timestamp,
 LIFESTAGE_PREDICTIONS = "image_path string, life_stage_prediction string"
 
 ANNOTATION_ITEM = (
-    "struct<pos:bigint,id:string,type:string,value:struct<x:double,y:double,width:double,height:double,"
+    "struct<id:string,type:string,value:struct<x:double,y:double,width:double,height:double,"
     "labels:array<string>,taxonomy:array<array<string>>>>"
 )
 
 ANNOTATION_TASK = (
-    "task_id bigint, data struct<image:string,deployment:string>, annotations array<struct<result:array<"
+    "data struct<image:string,deployment:string>, annotations array<struct<result:array<"
     + ANNOTATION_ITEM
     + ">,reviews:array<struct<fixed_annotation_history:array<string>,fixed_annotation_history_result:array<"
     + ANNOTATION_ITEM

@@ -48,8 +48,17 @@ def write_bytes(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     publish(fs, part, path)
 
 
-# fixed values
-USER_AGENT = "Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:124.0) Gecko/20100101 Firefox/124.0"
+def copy_file(source_fs: pafs.FileSystem, source: str, target_fs: pafs.FileSystem, target: str, piece: int = 4 << 20) -> None:
+    """Whole file or none, a piece in memory at a time."""
+    target_fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    part = target + attempt_suffix()
+    with source_fs.open_input_stream(source) as read, target_fs.open_output_stream(part) as write:
+        while data := read.read(piece):
+            write.write(data)
+    publish(target_fs, part, target)
+
+
+USER_AGENT = "fieldlens image fetcher"
 
 Opener = Callable[[str, float], bytes]
 

@@ -53,6 +53,37 @@ def fetch_job(
     return rows.mapInPandas(run, "image_path string, status string").checkpoint()
 
 
+def copy_job(plan: DataFrame, from_path: str, to_path: str, workers: int | None = None) -> DataFrame:
+    """(source, target, status) of files that are laid out anew: copied, present (a file of the same size is there), missing
+    (no such source) or the error. ``plan`` has source and target, paths below the two folders.
+
+    A file is written whole or not at all, so a repeated task goes on; one that several rows name is copied once a target.
+    """
+    roots = from_path.rstrip("/"), to_path.rstrip("/")
+
+    def one(source_fs, target_fs, source: str, target: str) -> str:
+        try:
+            size = files.file_size(source_fs, source)
+            if size is None:
+                return "missing"
+            if files.file_size(target_fs, target) == size:
+                return "present"
+            files.copy_file(source_fs, source, target_fs, target)
+            return "copied"
+        except Exception as e:  # noqa: BLE001 - the reason goes to the status table
+            return f"error: {type(e).__name__}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (source_fs, source_base), (target_fs, target_base) = (files.open_fs(r) for r in roots)
+        for b in batches:
+            b["status"] = [one(source_fs, target_fs, f"{source_base}/{s}", f"{target_base}/{t}") for s, t in zip(b["source"], b["target"], strict=True)]
+            yield b
+
+    ensure_checkpoint_dir(plan.sparkSession)
+    rows = plan.select("source", "target").distinct().repartition(workers or io_tasks(plan.sparkSession), "target")
+    return rows.mapInPandas(run, "source string, target string, status string").checkpoint()
+
+
 def delete_job(listed: DataFrame, base_path: str | None = None, column: str = "filename") -> DataFrame:
     """(filename, deleted) for every listed file; missing files are skipped."""
     root = base_path.rstrip("/") if base_path else None

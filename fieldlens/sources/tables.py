@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.schemas import MEDIA, OCCURRENCE
+from fieldlens.sources.csv_ranges import csv_scan
 
 
 def archive_member(spark: SparkSession, path: str, fields: dict[str, str], row_order: bool = False) -> DataFrame:
@@ -38,14 +39,11 @@ def dwca_scan(spark: SparkSession, multimedia: str, occurrence: str) -> tuple[Da
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """A stored table. CSV values may hold line breaks; a value that does not fit its column fails the job.
-
-    Line breaks keep a CSV file from being split, so large tables are many files, as ``write_table`` leaves them.
-    """
-    reader = spark.read.schema(schema)
+    """A stored table. CSV values may hold line breaks; a value that does not fit its column fails the job, and a large CSV
+    file is read in ranges by many tasks."""
     if fmt == "csv":
-        return reader.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path)
-    return reader.format(fmt).load(path)
+        return csv_scan(spark, path, schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def write_table(
@@ -53,7 +51,8 @@ def write_table(
 ) -> None:
     writer = df.write.mode(mode).partitionBy(*partition_by) if partition_by else df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(**kept).csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -135,14 +135,14 @@ def test_key_lists_and_tables(spark, tmp_path):
     df = spark.createDataFrame([("a,\"b", None), ("c", 2)], "name string, n int")
     tables.write_table(df, str(tmp_path / "csv"), "csv")
     assert tables.read_table(spark, str(tmp_path / "csv"), "name string, n int", "csv").exceptAll(df).isEmpty()
-    (tmp_path / "tasks.json").write_text('[{"task_id": 1, "data": {"image": "u/x.jpg", "deployment": "UK"}, "annotations": []}]')
+    (tmp_path / "tasks.json").write_text('[{"data": {"image": "u/x.jpg", "deployment": "UK"}, "annotations": []}]')
     assert documents.annotation_json_scan(spark, str(tmp_path / "tasks.json"), one_document=True).first()["data"]["image"] == "u/x.jpg"
 
 
 def test_indented_and_broken_files(spark, tmp_path):
     (tmp_path / "map.json").write_text('{\n  "12": 0,\n  "7": 1\n}\n')
     (tmp_path / "keys.json").write_text('[\n  12,\n  "7"\n]\n')
-    (tmp_path / "tasks.json").write_text('[\n {"task_id": 1,\n "data": {"image": "u/x.jpg"}}\n]')
+    (tmp_path / "tasks.json").write_text('[\n {"data": {"image":\n "u/x.jpg"}}\n]')
     (tmp_path / "truth.json").write_text('{\n  "a": [\n    [[1, 2, 3, 4], [5, 6, 7, 8]],\n    [1, 0]\n  ]\n}')
     (tmp_path / "uneven.json").write_text('{"a": [[[1, 2, 3, 4]], [1, 0], [0.5]]}')
     path = {p.stem: str(p) for p in tmp_path.glob("*.json")}
@@ -151,12 +151,12 @@ def test_indented_and_broken_files(spark, tmp_path):
     truth = documents.prediction_json_scan(spark, path["truth"], one_document=True).orderBy("pos").collect()
     assert [(r["image"], r["pos"], r["x1"], r["label"], r["score"]) for r in truth] == [("a", 0, 1.0, 1, None), ("a", 1, 5.0, 0, None)]
     for broken in (
-        documents.read_json_map(spark, path["map"], "int"), documents.read_key_list(spark, path["keys"]),
-        documents.annotation_json_scan(spark, path["tasks"]), documents.prediction_json_scan(spark, path["truth"]),
-        documents.prediction_json_scan(spark, path["uneven"]),
+        lambda: documents.read_json_map(spark, path["map"], "int"), lambda: documents.read_key_list(spark, path["keys"]),
+        lambda: documents.annotation_json_scan(spark, path["tasks"]), lambda: documents.prediction_json_scan(spark, path["truth"]),
+        lambda: documents.prediction_json_scan(spark, path["uneven"]),
     ):
         with pytest.raises(Exception, match="(?i)malformed|unequal"):
-            broken.collect()
+            broken().collect()
 
 
 def test_large_and_oddly_named_images_come_back_whole(spark, tmp_path):
