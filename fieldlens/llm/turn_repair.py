@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm.base import prepare
-from fieldlens.session import materialized
+from fieldlens.session import io_tasks, materialized
 
 #: Rows of the order over the table that share a segment (a power of two), and of a span that is parsed over all splits.
 SEGMENT_BITS, BLOCK = 10, 8
@@ -263,7 +263,8 @@ def parse(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A report (_key, gaps, blank, duplicate, truncated, illegal, cost) and audits by segment (_key, _seg, audit)."""
     rows = materialized(faults(conversations), "faults")
     seg = F.shiftright("_at", SEGMENT_BITS).alias("_seg")
-    dealt = rows.select("_key", seg, "_at", "initial", *_COUNTED).repartition("_key", "_seg").sortWithinPartitions("_key", "_seg", "_at")
+    # a number of tasks: the rows are a few bytes each, but parsing them is the work
+    dealt = rows.select("_key", seg, "_at", "initial", *_COUNTED).repartition(io_tasks(rows.sparkSession), "_key", "_seg").sortWithinPartitions("_key", "_seg", "_at")
     segments = materialized(dealt.drop("_at").mapInArrow(_segments, SEGMENTS), "segments")
     chosen = segments.drop("audits").repartition("_key").sortWithinPartitions("_key", "_seg").mapInArrow(_chosen, CHOSEN)
     chosen = materialized(chosen, "chosen")
