@@ -259,7 +259,7 @@ SELECT i.image_path, i.acceptedTaxonKey, m.class_id FROM images i JOIN map_ m ON
 UNION ALL SELECT concat('unmatched ', CAST(count(*) AS VARCHAR)), acceptedTaxonKey, NULL FROM images
 WHERE acceptedTaxonKey IS NULL OR acceptedTaxonKey % 9 = 4 GROUP BY acceptedTaxonKey""")
 def category_id_join(t):
-    rows = t.frozen().images.select("image_path", "acceptedTaxonKey")
+    rows = t.written("image_path", "acceptedTaxonKey")
     ids = checklists.category_map(rows.filter("acceptedTaxonKey % 9 <> 4"), "acceptedTaxonKey")
     matched, unmatched = joins.category_id_join(rows, ids, "acceptedTaxonKey")
     notes = unmatched.select(

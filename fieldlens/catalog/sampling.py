@@ -32,7 +32,7 @@ SPLIT = with_views("images") + """,
 
 
 def _split(t):
-    return sampling.stratified_split(t.frozen().images.select("image_path", "coreid", "acceptedTaxonKey", "ord"), row_order="ord")
+    return sampling.stratified_split(t.written("image_path", "coreid", "acceptedTaxonKey", "ord"), row_order="ord")
 
 
 @query("group_cap", HASHED + """
@@ -46,24 +46,24 @@ def group_cap(t):
 SELECT image_path, CAST(CASE WHEN row_number() OVER (ORDER BY image_path) <= floor(count(*) OVER () / 2) THEN 1 ELSE 2 END AS INT) AS half
 FROM images WHERE lifeStage IS NULL""")
 def half_split(t):
-    return sampling.half_split(t.frozen().images.filter("lifeStage IS NULL").select("image_path"), "image_path")
+    return sampling.half_split(t.written("image_path", "lifeStage").filter("lifeStage IS NULL").select("image_path"), "image_path")
 
 
 @query("systematic_sample", IMAGES + """
 SELECT image_path FROM (SELECT image_path, row_number() OVER (ORDER BY image_path) AS r FROM images) q WHERE (r - 1) % 7 = 0""")
 def systematic_sample(t):
-    return sampling.systematic_sample(t.frozen().images.select("image_path"), "image_path", 7)
+    return sampling.systematic_sample(t.written("image_path"), "image_path", 7)
 
 
 @query("shuffle", HASHED + "SELECT image_path, row_number() OVER (ORDER BY h, image_path) AS position FROM h_")
 def shuffle(t):
-    return sampling.shuffle(t.frozen().images.select("image_path"))
+    return sampling.shuffle(t.written("image_path"))
 
 
 @query("random_pair_split", HASHED + """
 SELECT image_path, CASE WHEN row_number() OVER (ORDER BY h, image_path) <= floor(0.8e0 * count(*) OVER ()) THEN 'train' ELSE 'val' END AS split FROM h_""")
 def random_pair_split(t):
-    return sampling.random_pair_split(t.frozen().images.select("image_path"), "image_path")
+    return sampling.random_pair_split(t.written("image_path"), "image_path")
 
 
 @query("ratio_split", HASHED + """,
@@ -71,7 +71,7 @@ def random_pair_split(t):
         FROM h_ WHERE acceptedTaxonKey IS NOT NULL)
 SELECT image_path, acceptedTaxonKey, CASE WHEN n < 5 THEN 'test' WHEN r <= floor(n * 0.7e0) THEN 'train' WHEN r <= n - floor(n * 0.2e0) THEN 'val' ELSE 'test' END AS split FROM r_""")
 def ratio_split(t):
-    return sampling.ratio_split(t.frozen().images.select("image_path", "acceptedTaxonKey"), "acceptedTaxonKey")
+    return sampling.ratio_split(t.written("image_path", "acceptedTaxonKey"), "acceptedTaxonKey")
 
 
 @query("ratio_split_rounded", HASHED + """,
@@ -81,7 +81,7 @@ SELECT image_path, acceptedTaxonKey, CASE WHEN r <= round_even(n * 0.75e0, 0) TH
   WHEN r <= round_even(n * 0.75e0, 0) + round_even(n * 0.1e0, 0) THEN 'val' ELSE 'test' END AS split FROM r_""")
 def ratio_split_rounded(t):
     return sampling.ratio_split(
-        t.frozen().images.select("image_path", "acceptedTaxonKey"), "acceptedTaxonKey", train=0.75, val=0.1, test=0.15, rounded=True)
+        t.written("image_path", "acceptedTaxonKey"), "acceptedTaxonKey", train=0.75, val=0.1, test=0.15, rounded=True)
 
 
 @query("stratified_split", SPLIT + "SELECT image_path, coreid, acceptedTaxonKey, split FROM split_")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import boxes as bx
-from fieldlens.operators.ordering import ensure_checkpoint_dir, running_sums, suffix_max
+from fieldlens.operators.ordering import running_sums, suffix_maxima
 
 EPS = 2.220446049250313e-16
 COORDS = ("x1", "y1", "x2", "y2")
@@ -53,94 +53,86 @@ def box_pair_join(
     return pairs.filter(F.col("iou") >= min_iou).drop("_cx", "_cy")
 
 
-def _fold_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy pass over each small group, as one fold inside the row."""
-    item = F.struct((-F.col("score")).alias("s"), F.col("det"), (-F.col("iou")).alias("i"), F.col("gt"))
-    taken = "array<struct<det:bigint,gt:bigint,iou:double>>"
-
-    def step(done, p):
-        free = ~F.array_contains(done["det"], p["det"]) & ~F.array_contains(done["gt"], p["gt"])
-        row = F.array(F.struct(p["det"].alias("det"), p["gt"].alias("gt"), (-p["i"]).alias("iou")))
-        return F.when(free, F.concat(done, row)).otherwise(done)
-
-    grouped = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    matched = grouped.select(*keys, F.explode(F.aggregate("_p", F.array().cast(taken), step)).alias("m"))
-    return matched.select(*keys, "m.det", "m.gt", "m.iou")
-
-
-def greedy_box_match(
-    pairs: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("image",), fold_limit: int = 2000
-) -> DataFrame:
+def _greedy(by: list[str], thresholds: list[float]):
+    """Greedy pass over pairs that come image by image, in the order of the pass. Beside the pair at hand only the
+    truths that are taken are held, a set for each threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, det, matched, taken = None, None, [], []
+        for b in batches:
+            rows, slots = [], []
+            keys = zip(*(b.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(b)
+            for i, (key, d, gt, iou) in enumerate(zip(keys, *(b.column(c).to_pylist() for c in ("det", "gt", "iou")), strict=True)):
+                if key != group:
+                    group, det, taken = key, None, [set() for _ in thresholds]
+                if det is None or d != det[0]:
+                    det, matched = (d,), [False] * len(thresholds)
+                for k, threshold in enumerate(thresholds):
+                    if iou >= threshold and not matched[k] and gt not in taken[k]:
+                        matched[k] = True
+                        taken[k].add(gt)
+                        rows.append(i)
+                        slots.append(k)
+            if rows:
+                at = pa.array(rows)
+                columns = [b.column(c).take(at) for c in (*by, "det", "gt", "iou")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(slots, pa.int32())], names=[*by, "det", "gt", "iou", "slot"])
+
+    return run
+
+
+def _matched_slots(pairs: DataFrame, thresholds: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """by, det, gt, iou, slot (place of the threshold) of the greedy matches."""
+    levels = [float(t) for t in thresholds]
+    # the best truth of the best detection first; ties by id
+    laid = pairs.filter(F.col("iou") >= min(levels)).select(*by, "det", "gt", "score", "iou").repartition(*by)
+    laid = laid.sortWithinPartitions(*by, F.desc("score"), "det", F.desc("iou"), "gt")
+    kept = laid.select(*by, "det", "gt", "iou")
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", slot int"
+    return kept.mapInArrow(_greedy(list(by), levels), schema)
+
+
+def greedy_box_match(pairs: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("image",)) -> DataFrame:
     """Matches (by, threshold, det, gt, iou): by falling score each detection takes its best free truth.
 
-    ``pairs``: by, det, gt, score, iou. Groups of at most ``fold_limit`` pairs are matched inside one row. Larger
-    groups are worked down in rounds that fix every pair in which the detection is the best scored one left
-    for the truth and the truth the best overlap left for the detection - the greedy pass would make the same
-    choice - until the rest fits. The best scored detection of a group is always fixed, so rounds end.
+    ``pairs``: by, det, gt, score, iou. One shuffle for all thresholds; the pairs of an image, sorted by score with spilling,
+    pass through one task as a stream, which holds the truths that are taken.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
-    keys = [*by, "threshold"]
-    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    open_ = (
-        pairs.filter(F.col("iou") >= float(min(thresholds)))
-        .select(*by, "det", "gt", "score", "iou", levels.alias("threshold"))
-        .filter(F.col("iou") >= F.col("threshold"))
-        .checkpoint()
-    )
-    found = []
-    while True:
-        big = open_.groupBy(*keys).count().filter(F.col("count") > fold_limit).select(*keys)
-        if big.isEmpty():
-            found.append(_fold_matches(open_, keys))
-            return reduce(DataFrame.unionByName, found)
-        found.append(_fold_matches(open_.join(big, keys, "left_anti"), keys))
-        large = open_.join(big, keys, "left_semi")
-        for_det = large.groupBy(*keys, "det").agg(
-            F.min(F.struct((-F.col("iou")).alias("i"), F.col("gt"))).alias("best")
-        ).select(*keys, "det", F.col("best.gt").alias("gt"), (-F.col("best.i")).alias("iou"))
-        for_gt = large.groupBy(*keys, "gt").agg(
-            F.min(F.struct((-F.col("score")).alias("s"), F.col("det"))).alias("best")
-        ).select(*keys, "gt", F.col("best.det").alias("det"))
-        fixed = for_det.join(for_gt, [*keys, "det", "gt"]).checkpoint()
-        found.append(fixed.select(*keys, "det", "gt", "iou"))
-        open_ = (
-            large.join(fixed.select(*keys, "det"), [*keys, "det"], "left_anti")
-            .join(fixed.select(*keys, "gt"), [*keys, "gt"], "left_anti")
-            .checkpoint()
-        )
+    found = _matched_slots(pairs, thresholds, by)
+    level = F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("slot") + 1)
+    return found.select(*by, level.alias("threshold"), "det", "gt", "iou")
+
+
+def _overlaps(detections: DataFrame, truths: DataFrame, thresholds: Sequence[float], by: Sequence[str]) -> DataFrame:
+    pairs = box_pair_join(detections, truths, by, min(thresholds), ("box_id", "score"), ("box_id",))
+    return pairs.select(*by, F.col("a_box_id").alias("det"), F.col("b_box_id").alias("gt"), F.col("a_score").alias("score"), "iou")
 
 
 def match_detections(
-    detections: DataFrame, truths: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("image",), **kw
+    detections: DataFrame, truths: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("image",)
 ) -> DataFrame:
     """Pairs, then the greedy matches; boxes carry ``box_id`` and detections ``score``."""
-    pairs = box_pair_join(detections, truths, by, min(thresholds), ("box_id", "score"), ("box_id",))
-    named = pairs.select(
-        *by, F.col("a_box_id").alias("det"), F.col("b_box_id").alias("gt"), F.col("a_score").alias("score"), "iou"
-    )
-    return greedy_box_match(named, thresholds, by, **kw)
+    return greedy_box_match(_overlaps(detections, truths, thresholds, by), thresholds, by)
 
 
 def _curve(
-    detections: DataFrame, matches: DataFrame, truth_counts: DataFrame, thresholds: Sequence[float],
-    by: Sequence[str], group: Sequence[str],
+    detections: DataFrame, truths: DataFrame, truth_counts: DataFrame, thresholds: Sequence[float], by: Sequence[str], group: Sequence[str]
 ) -> DataFrame:
-    keys = [*group, "threshold"]
-    spread = detections.select(
-        *by, F.col("box_id").alias("det"), "score",
-        F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"),
-    )
-    marked = spread.join(matches.select(*by, "threshold", "det", "gt"), [*by, "threshold", "det"], "left").select(
-        *keys, "image", "det", "score", F.when(F.col("gt").isNotNull(), 1).otherwise(0).alias("hit")
-    )
+    """Detections in score order with a slot for each threshold: hits, running hits ``tp`` and precision (the envelope),
+    beside the running count ``n`` and ``n_gt``. The rows are not multiplied by the thresholds."""
+    group, slots = list(group), range(len(thresholds))
+    matches = _matched_slots(_overlaps(detections, truths, thresholds, by), thresholds, by)
+    hits = matches.groupBy(*by, "det").agg(*[F.max((F.col("slot") == i).cast("int")).alias(f"h{i}") for i in slots])
+    # by this key matches lie as the pairs did, one row a detection that has any
+    marked = detections.select(*by, F.col("box_id").alias("det"), "score").join(hits, [*by, "det"], "left")
+    marked = marked.select(*group, "image", "det", "score", *[F.coalesce(f"h{i}", F.lit(0)).alias(f"h{i}") for i in slots])
     order = [F.col("score").desc(), F.col("det"), F.col("image")]
-    summed = running_sums(marked, keys, order, {"tp": F.col("hit"), "fp": 1 - F.col("hit")})
-    raw = F.when(F.col("tp") + F.col("fp") == 0, 1.0).otherwise(F.col("tp") / (F.col("fp") + F.col("tp") + EPS))
-    enveloped = suffix_max(summed.withColumn("_raw", raw), keys, "_raw", "precision")
-    counted = enveloped.join(truth_counts, list(group)) if group else enveloped.withColumn("n_gt", truth_counts.scalar())
+    summed = running_sums(marked, group, order, {"n": F.lit(1), **{f"t{i}": F.col(f"h{i}") for i in slots}})
+    raw = summed.withColumns({f"r{i}": F.col(f"t{i}") / (F.col("n") + EPS) for i in slots})
+    enveloped = suffix_maxima(raw, group, {f"p{i}": f"r{i}" for i in slots})
+    counted = enveloped.join(truth_counts, group) if group else enveloped.withColumn("n_gt", truth_counts.scalar())
     return counted.select(
-        *keys, "image", "det", "score", "hit", "tp", "fp", "n_gt", "precision",
-        (F.col("tp") / (F.col("n_gt") + EPS)).alias("recall"),
+        *group, "image", "det", "score", "n", "n_gt", *[F.array(*[F.col(f"{c}{i}") for i in slots]).alias(o) for c, o in (("h", "hit"), ("t", "tp"), ("p", "precision"))]
     )
 
 
@@ -151,9 +143,14 @@ def pr_curve(
 
     Recall counts truths of images that have detections, or of all images with ``count_all_truths``.
     """
-    matches = match_detections(detections, truths, thresholds)
     base = truths if count_all_truths else truths.join(detections.select("image").distinct(), "image", "left_semi")
-    return _curve(detections, matches, base.agg(F.count("*").alias("n_gt")), thresholds, ("image",), ())
+    curve = _curve(detections, truths, base.agg(F.count("*").alias("n_gt")), thresholds, ("image",), ())
+    levels = F.array(*[F.lit(float(t)) for t in thresholds])
+    points = curve.select("image", "det", "score", "n", "n_gt", F.explode(F.arrays_zip(levels.alias("threshold"), "hit", "tp", "precision")).alias("s"))
+    return points.select(
+        "s.threshold", "image", "det", "score", "s.hit", "s.tp", (F.col("n") - F.col("s.tp")).alias("fp"), "n_gt", "s.precision",
+        (F.col("s.tp") / (F.col("n_gt") + EPS)).alias("recall"),
+    )
 
 
 def operating_point(curve: DataFrame, score: float) -> DataFrame:
@@ -191,19 +188,25 @@ def mean_average_precision(
     thresholds = [round(0.5 + 0.05 * i, 2) for i in range(10)]
     by, group = ("image", label), (label,)
     top = best_boxes(detections, max_boxes, by)
-    matches = match_detections(top, truths, thresholds, by)
     counts = truths.groupBy(label).agg(F.count("*").alias("n_gt"))
-    curve = _curve(top, matches, counts, thresholds, by, group)
-    k, n = F.col("tp"), F.col("n_gt")
-    points = F.floor(k * 100 / n) - F.floor((k - 1) * 100 / n) + F.when(k == 1, 1).otherwise(0)
-    weighted = F.when(F.col("hit") == 1, points * F.col("precision")).otherwise(0.0)
-    ap = curve.groupBy(label, "threshold").agg((F.sum(weighted) / 101).alias("ap"))
-    every = counts.select(label, F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
-    scored = every.join(ap, [label, "threshold"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-    return scored.agg(
-        F.round(F.avg("ap"), 6).alias("map"),
-        F.round(F.avg(F.when(F.col("threshold") == 0.5, F.col("ap"))), 6).alias("map_50"),
-        F.round(F.avg(F.when(F.col("threshold") == 0.75, F.col("ap"))), 6).alias("map_75"),
+    curve = _curve(top, truths, counts, thresholds, by, group)
+    n = F.col("n_gt")
+
+    def points(k: Column) -> Column:
+        return F.floor(k * 100 / n) - F.floor((k - 1) * 100 / n) + F.when(k == 1, 1).otherwise(0)
+
+    sums = [
+        F.sum(F.when(F.col("hit")[i] == 1, points(F.col("tp")[i]) * F.col("precision")[i]).otherwise(0.0) / 101).alias(f"a{i}")
+        for i in range(len(thresholds))
+    ]
+    ap = counts.select(label).join(curve.groupBy(label).agg(*sums), label, "left")
+    scored = ap.select(*[F.coalesce(f"a{i}", F.lit(0.0)).alias(f"a{i}") for i in range(len(thresholds))])
+    every = F.array(*[F.avg(f"a{i}") for i in range(len(thresholds))])
+    means = scored.agg(every.alias("m"))
+    at = {t: i for i, t in enumerate(thresholds)}
+    return means.select(
+        F.round(F.aggregate("m", F.lit(0.0), lambda s, v: s + v) / len(thresholds), 6).alias("map"),
+        F.round(F.col("m")[at[0.5]], 6).alias("map_50"), F.round(F.col("m")[at[0.75]], 6).alias("map_75"),
     )
 
 

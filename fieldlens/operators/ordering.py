@@ -135,17 +135,17 @@ def running_sums(
     return out.drop(*[f"_o_{n}" for n in sums], *[f"_i_{n}" for n in sums])
 
 
-def suffix_max(df: DataFrame, keys: Sequence[str], value: str, out_col: str) -> DataFrame:
-    """Running maximum from the end of each key group over rows placed by ``running_sums``."""
+def suffix_maxima(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Running maxima of columns (out: column) from the end of each key group over rows placed by ``running_sums``."""
     keys = list(keys)
-    peaks = df.groupBy(*keys, "_part").agg(F.max(value).alias("_m"))
+    peaks = df.groupBy(*keys, "_part").agg(*[F.max(v).alias(f"_m_{o}") for o, v in values.items()])
     # read backwards: a frame that only grows is one pass, one that shrinks is recomputed for every row
     after = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    later = peaks.select(*keys, "_part", F.max("_m").over(after).alias("_later"))
+    later = peaks.select(*keys, "_part", *[F.max(f"_m_{o}").over(after).alias(f"_l_{o}") for o in values])
     inside = Window.partitionBy(*keys, "_part").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.withColumn("_own", F.max(value).over(inside))
-        .join(later, [*keys, "_part"])
-        .withColumn(out_col, F.greatest("_own", "_later"))
-        .drop("_own", "_later")
-    )
+    own = df.select("*", *[F.max(v).over(inside).alias(f"_o_{o}") for o, v in values.items()]).join(later, [*keys, "_part"])
+    return own.withColumns({o: F.greatest(f"_o_{o}", f"_l_{o}") for o in values}).drop(*[f"{p}{o}" for p in ("_o_", "_l_") for o in values])
+
+
+def suffix_max(df: DataFrame, keys: Sequence[str], value: str, out_col: str) -> DataFrame:
+    return suffix_maxima(df, keys, {out_col: value})

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators.joins import first_per_occurrence
-from fieldlens.operators.ordering import bucket_totals, ensure_checkpoint_dir, first_n, global_rank, hash_bucket, hash_order, ranked
+from fieldlens.operators.ordering import bucket_totals, ensure_checkpoint_dir, first_n, hash_bucket, hash_order, ranked
+from fieldlens.operators.selection import name_rank, up_to
 
 
 def _hashed(df: DataFrame, seed: int, unit: str) -> DataFrame:
@@ -23,15 +24,13 @@ def group_cap(df: DataFrame, key: str, n: int, unit: str = "image_path", seed: i
 
 
 def half_split(df: DataFrame, order: str) -> DataFrame:
-    """``half`` = 1 for the first floor(n/2) rows in the given order, 2 for the rest."""
-    n = df.agg(F.count("*")).scalar()
-    placed = global_rank(df, [F.col(order)], "_r")
-    return placed.withColumn("half", F.when(F.col("_r") <= F.floor(n / 2), 1).otherwise(2)).drop("_r")
+    """``half`` = 1 for the first floor(n/2) rows in the order of names, 2 for the rest."""
+    return up_to(df, F.col(order), 0.5, "_first").withColumn("half", F.when(F.col("_first"), 1).otherwise(2)).drop("_first")
 
 
 def systematic_sample(df: DataFrame, order: str, rate: int) -> DataFrame:
-    """Every ``rate``-th row of the sorted list, starting with the first."""
-    return global_rank(df, [F.col(order)], "_r").filter((F.col("_r") - 1) % rate == 0).drop("_r")
+    """Every ``rate``-th row of the list sorted by name, starting with the first."""
+    return name_rank(df, F.col(order), "_r").filter((F.col("_r") - 1) % rate == 0).drop("_r")
 
 
 def shuffle(df: DataFrame, unit: str = "image_path", seed: int = 42) -> DataFrame:
@@ -42,12 +41,9 @@ def shuffle(df: DataFrame, unit: str = "image_path", seed: int = 42) -> DataFram
 
 def random_pair_split(df: DataFrame, unit: str, train_percent: float = 80, seed: int = 42) -> DataFrame:
     """Exactly int(percent/100 * n) random rows to train, the rest to val."""
-    n = df.agg(F.count("*")).scalar()
-    train = F.floor(F.lit(train_percent / 100) * n)
-    return (
-        shuffle(df, unit, seed).withColumn("split", F.when(F.col("position") <= train, "train").otherwise("val"))
-        .drop("position")
-    )
+    drawn = F.concat(hash_order(seed, unit), F.coalesce(F.col(unit).cast("string"), F.lit("")))
+    rows = up_to(df, drawn, train_percent / 100, "_train")
+    return rows.withColumn("split", F.when(F.col("_train"), "train").otherwise("val")).drop("_train")
 
 
 def ratio_split(

@@ -246,6 +246,10 @@ class Tables:
             return self._images
         return image_metadata(self.media, self.occurrence)
 
+    def written(self, *columns: str) -> DataFrame:
+        """These columns of the image metadata, written once, for queries that read them several times."""
+        return materialized(self.images.select(*columns), "images")
+
     def frozen(self) -> Tables:
         """The same tables with the image metadata written once, for queries that read it several times."""
         return Tables(self.spark, self.sf_dir, materialized(self.images, "images"))

@@ -39,16 +39,31 @@ def _brute(dets, gts, thr):
     return found
 
 
-@pytest.mark.parametrize("fold_limit", [0, 20, 5000])
-def test_greedy_matches(spark, fold_limit):
+def test_greedy_matches(spark):
     dets, gts = _boxes(6, 14, 1, True), _boxes(6, 14, 2, False)
     schema = "image long, box_id long, x1 double, y1 double, x2 double, y2 double"
     d, g = spark.createDataFrame(dets, schema + ", score double"), spark.createDataFrame(gts, schema)
-    got = matching.match_detections(d, g, (0.2, 0.5), fold_limit=fold_limit).collect()
+    got = matching.match_detections(d, g, (0.2, 0.5)).collect()
     for thr in (0.2, 0.5):
         assert {(r["image"], r["det"], r["gt"]) for r in got if r["threshold"] == thr} == _brute(dets, gts, thr)
 
 
+def test_a_crowded_image_is_matched_as_a_stream(spark):
+    rng = random.Random(8)
+    pairs = [(1, d, rng.randint(0, 1500), round(1 - d / 4000, 3), round(rng.uniform(0.3, 1), 2)) for d in range(2500) for _ in range(40)]
+    pairs = list({(i, d, g): (i, d, g, s, o) for i, d, g, s, o in pairs}.values())
+    df = spark.createDataFrame(pairs, "image long, det long, gt long, score double, iou double").repartition(8)
+    got = matching.greedy_box_match(df, (0.5, 0.9)).collect()
+    for thr in (0.5, 0.9):
+        free, done, want = set(), set(), set()
+        for _, d, g, _, o in sorted(pairs, key=lambda p: (-p[3], p[1], -p[4], p[2])):
+            if o >= thr and d not in done and g not in free:
+                done.add(d)
+                free.add(g)
+                want.add((d, g, o))
+        assert {(r["det"], r["gt"], r["iou"]) for r in got if r["threshold"] == thr} == want
+
+
 def test_pairs_meet_once_across_cells(spark):
     dets, gts = _boxes(3, 20, 5, True), _boxes(3, 20, 6, False)
     schema = "image long, box_id long, x1 double, y1 double, x2 double, y2 double"

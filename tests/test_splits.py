@@ -1,11 +1,12 @@
 """Split properties: no leak, whole input, quotas, caps and floor."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import sampling
+from fieldlens.operators import sampling, selection
 from fieldlens.plans.commands import split_dataset
 
 
@@ -54,3 +55,37 @@ def test_ratio_and_pair_split(metadata):
     assert pairs.filter("split = 'train'").count() == int(0.8 * metadata.count())
     with pytest.raises(ValueError):
         sampling.ratio_split(metadata, "acceptedTaxonKey", train=0.9)
+
+
+def _names(spark, names):
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, i long").repartition(5)
+
+
+@pytest.mark.parametrize("listed", [3, 10_000])
+def test_cuts_equal_those_of_the_sorted_list(spark, monkeypatch, listed):
+    monkeypatch.setattr(selection, "LISTED", listed)
+    rnd = random.Random(listed)
+    pools = [
+        [f"ds{rnd.randint(0, 3)}/{rnd.randint(0, 10**6)}_{rnd.randint(0, 3)}.jpg" for _ in range(700)], ["é" * k + "z" for k in range(60)] + [None, None, ""],
+        ["same"] * 50 + ["a"] * 3 + ["t", "sam", "samee"], ["one"], [],
+    ]
+    key = lambda n: (n is not None, (n or "").encode())
+    for names in pools:
+        df = _names(spark, names)
+        ordered = sorted(names, key=key)
+        halves = sampling.half_split(df, "name").collect()
+        assert sorted((r["name"] for r in halves if r["half"] == 1), key=key) == ordered[: len(names) // 2] and len(halves) == len(names)
+        every = sampling.systematic_sample(df, "name", 3).collect()
+        assert sorted((r["name"] for r in every), key=key) == ordered[::3]
+        drawn = sampling.random_pair_split(df, "name", 80).collect()
+        assert sum(r["split"] == "train" for r in drawn) == int(0.8 * len(names)) and len(drawn) == len(names)
+
+
+def test_large_bins_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(selection, "BINS", 16)
+    names = [f"http://img.example/traps/{i:06d}" for i in range(500)] + ["http://img.example/traps/000007"] * 200
+    df = _names(spark, names)
+    sizes = {bytes(r["b"]): r["count"] for r in df.groupBy(selection.name_bins(df, F.col("name")).alias("b")).count().collect()}
+    assert sorted(sizes.values())[-2] <= 700 // 16 and max(sizes.values()) == 201
+    ranks = sorted((r["r"], r["name"]) for r in selection.name_rank(df, F.col("name"), "r").collect())
+    assert [r for r, _ in ranks] == list(range(1, 701)) and [n for _, n in ranks] == sorted(names)
