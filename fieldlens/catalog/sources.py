@@ -334,9 +334,12 @@ def path_taxonomy_scan(t):
 
 
 SHARDED = """
-WITH d_ AS (SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS sample_key, octet_length(encode(text)) AS size, lang, source FROM documents),
- r_ AS (SELECT *, sum(size) OVER (ORDER BY md5(concat_ws('|', '42', sample_key)), sample_key ROWS UNBOUNDED PRECEDING) - size AS before_ FROM d_),
- s_ AS (SELECT *, CAST(floor(before_ / 500000) AS BIGINT) AS shard FROM r_)"""
+WITH RECURSIVE d_ AS (SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS sample_key, octet_length(encode(text)) AS size, lang, source, CAST(to_json(struct_pack(lang := lang, source := source)) AS VARCHAR) AS json FROM documents),
+ z_ AS (SELECT *, size + octet_length(encode(lang)) + octet_length(encode(json)) AS whole FROM d_),
+ r_ AS MATERIALIZED (SELECT *, sum(whole) OVER (ORDER BY md5(concat_ws('|', '42', sample_key)), sample_key ROWS UNBOUNDED PRECEDING) - whole AS before_ FROM z_),
+ b_ AS (SELECT CAST(0 AS BIGINT) AS shard, CAST(0 AS HUGEINT) AS start UNION ALL
+        SELECT shard + 1, (SELECT min(before_) FROM r_ WHERE before_ >= start + 500000) FROM b_ WHERE EXISTS (SELECT 1 FROM r_ WHERE before_ >= start + 500000)),
+ s_ AS (SELECT r_.*, (SELECT max(shard) FROM b_ WHERE start <= before_) AS shard FROM r_)"""
 
 
 def _samples(t):
@@ -353,7 +356,7 @@ def webdataset_sink(t):
 
 
 @query("webdataset_scan", SHARDED + """
-SELECT sample_key AS key, shard, lang AS cls, size AS bytes, CAST(to_json(struct_pack(lang := lang, source := source)) AS VARCHAR) AS json FROM s_""")
+SELECT sample_key AS key, shard, lang AS cls, size AS bytes, json FROM s_""")
 def webdataset_scan(t):
     out = work_dir(t.spark, "shards")
     shards.webdataset_sink(_samples(t), out, "size", payload="jpg", metadata="json", max_shard_size=500_000)

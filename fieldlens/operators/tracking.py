@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -95,6 +98,11 @@ def cost_matrix(
     return sum(w * p for w, p in zip(weights, parts, strict=True))
 
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def frame_assignment(
     boxes: DataFrame,
     cost_threshold: float = 10000.0,
@@ -108,65 +116,117 @@ def frame_assignment(
     shuffle; their n x m costs exist only as a matrix inside the task. All boxes need features of one length.
     """
 
-    def assign(key: tuple, table: pa.Table) -> pa.Table:
-        earlier = table.column("_earlier").to_numpy()
-        sides = []
-        for side in (table.filter(~earlier).sort_by("box_id"), table.filter(earlier).sort_by("box_id")):
-            corners = np.stack([side.column(c).to_numpy().astype(float) for c in COORDS], axis=1)
-            features = side.column("feature").combine_chunks()
-            width = len(features.flatten()) // max(len(side), 1)
-            sides.append((side.column("box_id").to_pylist(), (corners, features.flatten().to_numpy().reshape(len(side), width))))
-        (cur, cur_values), (prev, prev_values) = sides
-        links = []
-        if cur and prev:
-            cost = cost_matrix(cur_values, prev_values, weights, diagonal)
-            links = [(cur[i], prev[j], float(cost[i, j])) for i, j in solve_assignment(cost)]
-        columns = list(zip(*links, strict=True)) if links else [(), (), ()]
-        deployment, frame = (pa.array([k.as_py()] * len(links), pa.int64()) for k in key)
-        ids = [pa.array(c, pa.int64()) for c in columns[:2]]
-        return pa.table([deployment, frame, *ids, pa.array(columns[2], pa.float64())], names=["deployment", "frame", "cur", "prev", "cost"])
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of a deployment and frame come one after another; the last one of a batch may go on in the next."""
+        held: dict[str, list[np.ndarray]] = {}
+        for b in _with_end(batches):
+            if b is not None:
+                feature = b.column("feature")
+                width = len(feature.flatten()) // max(len(b), 1)
+                parts = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("deployment", "frame", "_earlier", "box_id")}
+                parts["corners"] = np.stack([b.column(c).to_numpy().astype(float) for c in COORDS], axis=1)
+                parts["feature"] = feature.flatten().to_numpy().reshape(len(b), width)
+                held = {c: np.concatenate([held[c], v]) if held else v for c, v in parts.items()}
+            if not held or not len(held["frame"]):
+                continue
+            change = np.flatnonzero((np.diff(held["frame"]) != 0) | (np.diff(held["deployment"]) != 0)) + 1
+            edges = [0, *change.tolist(), *([len(held["frame"])] if b is None else [])]
+            links: list[tuple] = []
+            for x, y in itertools.pairwise(edges):
+                # boxes of the frame itself come before those of the one before it
+                middle = x + int(np.searchsorted(held["_earlier"][x:y], True))
+                if x < middle < y:
+                    cur, prev = ((held["corners"][i:j], held["feature"][i:j]) for i, j in ((x, middle), (middle, y)))
+                    cost = cost_matrix(cur, prev, weights, diagonal)
+                    for i, j in solve_assignment(cost):
+                        links.append((held["deployment"][x], held["frame"][x], held["box_id"][x + i], held["box_id"][middle + j], cost[i, j]))
+            held = {c: v[edges[-1] :] for c, v in held.items()}
+            columns = list(zip(*links, strict=True)) if links else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["deployment", "frame", "cur", "prev", "cost"])
 
     roles = F.array(*[F.struct((F.col("frame") + d).alias("frame"), F.lit(d == 1).alias("_earlier")) for d in (0, 1)])
     feature = F.col("feature").cast("array<double>").alias("feature")
     met = boxes.filter(F.col("class") == "moth").select(
         F.col("deployment").cast("long").alias("deployment"), F.explode(roles).alias("_r"), F.col("box_id").cast("long").alias("box_id"), *COORDS, feature
     ).select("deployment", F.col("_r.frame").cast("long").alias("frame"), "_r._earlier", "box_id", *COORDS, "feature")
-    links = met.groupBy("deployment", "frame").applyInArrow(assign, "deployment long, frame long, cur long, prev long, cost double")
+    laid = met.repartition("deployment", "frame").sortWithinPartitions("deployment", "frame", "_earlier", "box_id")
+    links = laid.mapInArrow(assign, "deployment long, frame long, cur long, prev long, cost double")
     return links.filter(F.col("cost") < cost_threshold)
 
 
+#: Photographs of a deployment that are walked through as one segment.
+SEGMENT = 1000
+WALKED = "deployment long, box_id long, frame long, root long, came_from long, prev_x long, prev_y long"
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Roots of the chains inside a segment, whose rows come by frame, links first. ``came_from`` is the box before the
+    root where that lies in the segment before. Two frames are held at a time."""
+    now, frame = None, None
+    before: dict[int, tuple] = {}
+    current: dict[int, tuple] = {}
+    links: dict[int, int] = {}
+    for b in batches:
+        out = []
+        columns = ("deployment", "seg", "frame", "kind", "box_id", "prev", "x", "y")
+        for deployment, seg, f, kind, box, prev, x, y in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            if (deployment, seg) != now:
+                now, frame, before, current, links = (deployment, seg), f, {}, {}, {}
+            elif f != frame:
+                before, current, links = current if f == frame + 1 else {}, {}, {}
+                frame = f
+            if kind == 0:
+                links[box] = prev
+                continue
+            root, came, px, py = box, None, None, None
+            if box in links and links[box] in before:
+                root, came, px, py = before[links[box]]
+                if root is None:  # of the frame in front of the segment
+                    root, came = box, links[box]
+            current[box] = (None if kind == 1 else root, came, x, y)
+            if kind == 2:
+                out.append((deployment, box, f, root, came, px, py))
+        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in WALKED.split(", ")])
+
+
 def track_ids(boxes: DataFrame, links: DataFrame) -> DataFrame:
     """Every box with its track id (null for non-moths), centre and the centre it came from.
 
-    A box has at most one parent, so chains collapse by pointer doubling: ceil(log2(frames)) joins, each cut
-    with a reliable checkpoint.
+    Links join consecutive photographs one to one. A segment of a deployment is walked through by one task, frame by frame; only what
+    goes on from one segment to the next is then followed, by pointer doubling over the few chains that cross.
     """
     ensure_checkpoint_dir(boxes.sparkSession)
     key = "deployment"
-    links = links.checkpoint()
-    parent = links.select(key, F.col("cur").alias("box_id"), F.col("prev").alias("parent"))
-    moths = boxes.filter(F.col("class") == "moth").select(key, "box_id")
-    linked = moths.join(parent, [key, "box_id"], "left")
-    state = linked.select(
-        key, "box_id", F.coalesce("parent", "box_id").alias("root"), F.col("parent").isNull().alias("done")
-    ).checkpoint()
-    while not state.filter(~F.col("done")).isEmpty():
-        hop = state.select(key, F.col("box_id").alias("root"), F.col("root").alias("_next"), F.col("done").alias("_done"))
-        state = state.join(hop, [key, "root"]).select(
-            key, "box_id", F.col("_next").alias("root"), F.col("_done").alias("done")
-        ).checkpoint()
-    starts = state.filter(F.col("box_id") == F.col("root")).select(key, "root")
-    framed = starts.join(boxes.select(key, F.col("box_id").alias("root"), "frame"), [key, "root"])
-    numbered = ranked(
-        framed, [key], [F.col("frame"), F.col("root")], F.floor(F.col("frame") / 1000), "track_id"
-    ).select(key, "root", "track_id")
-    ids = state.join(numbered, [key, "root"]).select(key, "box_id", "track_id")
-    centres = boxes.select(
-        key, F.col("box_id").alias("parent"), bx.centre("x1", "x2").alias("prev_x"), bx.centre("y1", "y2").alias("prev_y")
-    )
-    came = parent.join(centres, [key, "parent"]).select(key, "box_id", "prev_x", "prev_y")
+    moths = boxes.filter(F.col("class") == "moth").select(
+        *[F.col(c).cast("long").alias(c) for c in (key, "frame", "box_id")], bx.centre("x1", "x2").cast("long").alias("x"), bx.centre("y1", "y2").cast("long").alias("y"))
+    seg = F.floor(F.col("frame") / SEGMENT)
+    none = F.lit(None).cast("long")
+    # the last frame of a segment also stands, as frame before the first, in the next one
+    ahead = moths.filter(F.col("frame") % SEGMENT == SEGMENT - 1)
+    rows = moths.select(key, seg.alias("seg"), "frame", F.lit(2).alias("kind"), "box_id", none.alias("prev"), "x", "y").unionByName(
+        ahead.select(key, (seg + 1).alias("seg"), "frame", F.lit(1).alias("kind"), "box_id", none.alias("prev"), "x", "y")
+    ).unionByName(links.select(
+        F.col(key).cast("long").alias(key), seg.alias("seg"), F.col("frame").cast("long").alias("frame"), F.lit(0).alias("kind"),
+        F.col("cur").cast("long").alias("box_id"), F.col("prev").cast("long").alias("prev"), none.alias("x"), none.alias("y")))
+    walked = rows.repartition(key, "seg").sortWithinPartitions(key, "seg", "frame", "kind", "box_id").mapInArrow(_walked, WALKED).checkpoint()
+    # chains that cross into a segment: their root there, and the root that goes on in the segment before
+    crossing = walked.filter((F.col("box_id") == F.col("root")) & F.col("came_from").isNotNull()).select(key, "root", F.col("came_from").alias("box_id"))
+    state = crossing.join(walked.select(key, "box_id", F.col("root").alias("next")), [key, "box_id"]).select(key, "root", "next").checkpoint()
+    while True:
+        hop = state.select(key, F.col("root").alias("next"), F.col("next").alias("_next"))
+        moved = state.join(hop, [key, "next"], "left").withColumn("_moved", F.col("_next").isNotNull()).select(
+            key, "root", F.coalesce("_next", "next").alias("next"), "_moved").checkpoint()
+        state = moved.drop("_moved")
+        if moved.filter("_moved").isEmpty():
+            break
+    first = walked.join(state, [key, "root"], "left").withColumn("root", F.coalesce("next", "root")).drop("next")
+    starts = walked.filter((F.col("box_id") == F.col("root")) & F.col("came_from").isNull()).select(key, "root", "frame")
+    numbered = ranked(starts, [key], [F.col("frame"), F.col("root")], F.floor(F.col("frame") / SEGMENT), "track_id").select(key, "root", "track_id")
+    ids = first.join(numbered, [key, "root"]).select(key, "box_id", "track_id", "prev_x", "prev_y")
     placed = boxes.withColumn("centre_x", bx.centre("x1", "x2")).withColumn("centre_y", bx.centre("y1", "y2"))
-    return placed.join(ids, [key, "box_id"], "left").join(came, [key, "box_id"], "left")
+    return placed.join(ids, [key, "box_id"], "left")
 
 
 def export_tracks(tracks: DataFrame) -> DataFrame:

@@ -100,10 +100,13 @@ def create_webdataset(
     """Shards of the listed images (with ``file_size``) and their manifest.
 
     With ``detections`` (image, pos, conf, x, y, width, height) the crop rectangle of the best box goes into the
-    sample's JSON for the loader to apply; pixels are not re-encoded here.
+    sample's JSON for the loader to apply; pixels are not re-encoded here. A label without a category stops the command.
     """
     ids = category_map or checklists.category_map(annotations, label_column)
-    rows, _ = joins.category_id_join(annotations, ids, label_column)
+    rows, unmatched = joins.category_id_join(annotations, ids, label_column)
+    unknown = unmatched.orderBy(label_column).limit(10).collect()
+    if unknown:
+        raise ValueError(f"no category for {label_column} " + ", ".join(f"{r[label_column]} ({r['rows']} rows)" for r in unknown))
     json_columns = columns_to_json.split(",") if columns_to_json else []
     if detections is not None:
         best = matching.best_detection(detections).withColumnRenamed("image", image_path_column).drop("pos", "conf")

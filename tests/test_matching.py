@@ -142,3 +142,38 @@ def test_hard_frames_do_not_depend_on_tiles(spark, rows):
     want = rows(tracking.hard_example_window(df, 3, 0.5, tile=10_000), "video", "frame", "correct_class")
     assert want == [(v, f, "a") for v in range(2) for f in (20, 40, 7)]
     assert rows(tracking.hard_example_window(df, 3, 0.5, tile=8), "video", "frame", "correct_class") == want
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1000])
+def test_tracks_do_not_depend_on_segments(spark, monkeypatch, segment):
+    monkeypatch.setattr(tracking, "SEGMENT", segment)
+    rng = random.Random(segment)
+    boxes, links, parent = [], [], {}
+    for d in range(2):
+        last: list[int] = []
+        for f in range(25):
+            if rng.random() < 0.1:
+                last = []
+                continue
+            own = [d * 10_000 + f * 100 + i for i in range(rng.randint(1, 6))]
+            boxes += [(d, f, b, b % 50, 0, b % 50 + 4, 6, "moth" if b % 7 else "nonmoth") for b in own]
+            free = [p for p in last if p % 7]
+            rng.shuffle(free)
+            for b in own:
+                if b % 7 and free and rng.random() < 0.8:
+                    parent[b] = free.pop()
+                    links.append((d, f, b, parent[b], 0.5))
+            last = own
+    schema = "deployment long, frame long, box_id long, x1 long, y1 long, x2 long, y2 long, class string"
+    got = tracking.track_ids(spark.createDataFrame(boxes, schema).repartition(5), spark.createDataFrame(links, "deployment long, frame long, cur long, prev long, cost double")).collect()
+
+    def root(b):
+        return root(parent[b]) if b in parent else b
+
+    frames = {b[2]: b[1] for b in boxes}
+    order = {d: sorted({root(b[2]) for b in boxes if b[0] == d and b[7] == "moth"}, key=lambda r: (frames[r], r)) for d in range(2)}
+    assert len(got) == len(boxes)
+    for r in got:
+        b = r["box_id"]
+        assert r["track_id"] == (order[r["deployment"]].index(root(b)) + 1 if b % 7 else None)
+        assert r["prev_x"] == (parent[b] % 50 + 2 if b in parent else None) and r["prev_y"] == (3 if b in parent else None)
