@@ -24,7 +24,7 @@ RULES = CLEAN_INPUT + """,
 
 
 def _rows(t):
-    t = t.frozen()
+    t = t.frozen("identifier", "coreid", "acceptedTaxonKey")
     return dataset.verified_metadata(t.images, t.verified, t.lifestage_predictions)
 
 
@@ -117,7 +117,7 @@ def null_lifestage_filter(t):
 @query("verified_join", with_views("images", "verified") + """
 SELECT v.image_path, v.width, v.height, i.identifier, i.acceptedTaxonKey FROM verified v JOIN images i ON v.image_path = i.image_path""")
 def verified_join(t):
-    t = t.frozen()
+    t = t.frozen("identifier", "acceptedTaxonKey")
     return joins.verified_join(t.verified, t.images).select("image_path", "width", "height", "identifier", "acceptedTaxonKey")
 
 

@@ -95,7 +95,7 @@ def clean_funnel(
     thumb_size: int | None = 64,
     adults_only: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cleaned rows, and (step, rule, removed) counts in rule order, from one grouping of the URLs."""
+    """Cleaned rows, and (step, rule, removed) counts in rule order, from one count of the URLs."""
     key = "identifier"
     rest = F.lit(None).cast("string")
     if adults_only:
@@ -105,20 +105,20 @@ def clean_funnel(
     if ignored is not None:
         rest = F.when(is_ignored_dataset(ignored), F.lit("dataset")).otherwise(rest)
     if remove_duplicate_url:
-        packed = df.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
-        single = packed.select("_n", "_row.*")
-        failed = F.when(F.col("_n") > 1, F.lit("duplicate_url")).otherwise(rest)
-        marked = single.withColumn("_rule", failed)
+        # the URLs alone are counted; whole rows meet the repeated ones in a join, whose skewed side can be split
+        repeated = df.groupBy(F.col(key).alias("_url")).agg(F.count("*").alias("_n")).filter("_n > 1")
+        failed = F.when(F.col("_n").isNotNull(), F.lit("duplicate_url")).otherwise(rest)
+        marked = df.join(repeated, F.col(key).eqNullSafe(F.col("_url")), "left").withColumn("_rule", failed).drop("_url", "_n")
     else:
-        marked = df.withColumn("_n", F.lit(1).cast("long")).withColumn("_rule", rest)
-    clean = marked.filter(F.col("_rule").isNull()).drop("_n", "_rule")
+        marked = df.withColumn("_rule", rest)
+    clean = marked.filter(F.col("_rule").isNull()).drop("_rule")
     step = (
         F.when(F.col("_rule") == "duplicate_url", 1).when(F.col("_rule") == "dataset", 2)
         .when(F.col("_rule") == "thumbnail", 3).when(F.col("_rule") == "non_adult", 4).otherwise(5)
     )
     report = (
         marked.groupBy(step.alias("step"), F.coalesce("_rule", F.lit("kept")).alias("rule"))
-        .agg(F.sum("_n").alias("images"))
+        .agg(F.count("*").alias("images"))
     )
     return clean, report
 

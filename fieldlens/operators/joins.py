@@ -23,9 +23,8 @@ HOT_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows. There are at most rows / hot_rows of them, so the list is broadcast."""
-    crowded = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
-    return F.broadcast(crowded)
+    """Keys with more than ``hot_rows`` rows."""
+    return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
 
 
 def _positions(key: str, order: Sequence[Column]) -> Column:
@@ -73,11 +72,11 @@ def indexed_images(
     return rest.unionByName(occurrence_media_join(crowded, owners))
 
 
-def first_per_occurrence(df: DataFrame, order: str | Column = "row_order", key: str = "coreid") -> DataFrame:
-    """First row of each occurrence in row order, combined map-side."""
-    by = F.col(order) if isinstance(order, str) else order
-    first = F.min_by(F.struct(*df.columns), by)
-    return df.groupBy(key).agg(first.alias("_row")).select("_row.*")
+def first_per_occurrence(df: DataFrame, order: str = "row_order", key: str = "coreid") -> DataFrame:
+    """First row of each occurrence in row order, which tells the rows of an occurrence apart. Only key and order are
+    aggregated, combined map-side; whole rows are taken by a join."""
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_first")), "left_semi")
 
 
 def verified_join(verified: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def verified_metadata(images: DataFrame, verified: DataFrame, predictions: DataF
 
 def flagship(t) -> DataFrame:
     """Join, index, verify, clean, then count the surviving images per taxon."""
-    t = t.frozen()
+    t = t.frozen("identifier", "coreid", "acceptedTaxonKey")
     rows = verified_metadata(t.images, t.verified, t.lifestage_predictions)
     clean, _ = filters.clean_funnel(rows, ignored="ds3,ds5")
     return (

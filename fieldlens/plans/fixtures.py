@@ -184,6 +184,9 @@ _RANKED_ORACLE = """
                (SELECT unnest(['SPECIES', 'GENUS', 'FAMILY']) AS level) lv
           GROUP BY 1, 2, 4) q"""
 
+# columns of the images that the views of verification and life stages read
+_VERIFIED = ("datasetKey", "lifeStage", "l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_shipdate", "l_extendedprice")
+
 _ORACLE_ONLY = {
     "logits": (("embeddings",), _LOGITS_ORACLE),
     "class_taxonomy": (("embeddings",), _TAXA + _CLASSES_ORACLE + ") k"),
@@ -250,9 +253,10 @@ class Tables:
         """These columns of the image metadata, written once, for queries that read them several times."""
         return materialized(self.images.select(*columns), "images")
 
-    def frozen(self) -> Tables:
-        """The same tables with the image metadata written once, for queries that read it several times."""
-        return Tables(self.spark, self.sf_dir, materialized(self.images, "images"))
+    def frozen(self, *columns: str) -> Tables:
+        """The same tables with these columns of the image metadata, and those that verification results and predictions are made of,
+        written once, for queries that read them several times."""
+        return Tables(self.spark, self.sf_dir, self.written(*dict.fromkeys(("image_path", *_VERIFIED, *columns))))
 
     @property
     def verified(self) -> DataFrame:
