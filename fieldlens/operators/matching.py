@@ -217,19 +217,16 @@ def best_detection(detections: DataFrame, image: str = "image") -> DataFrame:
     return usable.groupBy(image).agg(best.alias("b")).select(image, "b.*")
 
 
-def nested_regroup(boxes: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Boxes, labels and scores as parallel arrays per image, best score first.
+def nested_regroup(boxes: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Boxes, labels and scores as parallel arrays per image, best score first, and ``start`` 0.
 
-    Every row says with ``start`` at which position of its image its arrays begin. An image with more than
-    ``chunk`` boxes continues in further rows, so no array and no task has to hold an unbounded image; readers
-    add ``start`` to positions and need not know the chunk.
+    With ``chunk`` an image with more boxes continues in further rows, so that no row holds an unbounded image; ``start``
+    then says at which position of its image a row's arrays begin.
     """
-    placed = running_sums(boxes, ["image"], [F.desc("score"), F.col("box_id")], {"_r": F.lit(1)})
-    item = F.struct(
-        F.col("_r"), F.array(*COORDS).alias("box"), F.col("label"), F.col("score")
-    )
-    return (
-        placed.groupBy("image", (F.floor((F.col("_r") - 1) / chunk) * chunk).cast("long").alias("start"))
-        .agg(F.sort_array(F.collect_list(item)).alias("_i"))
-        .select("image", "start", F.col("_i.box").alias("boxes"), F.col("_i.label").alias("labels"), F.col("_i.score").alias("scores"))
-    )
+    item = F.struct((-F.col("score")).alias("_s"), "box_id", F.array(*COORDS).alias("box"), "label", "score")
+    placed = boxes.withColumn("start", F.lit(0).cast("long"))
+    if chunk is not None:
+        ranks = running_sums(boxes, ["image"], [F.desc("score"), F.col("box_id")], {"_r": F.lit(1)})
+        placed = ranks.withColumn("start", (F.floor((F.col("_r") - 1) / chunk) * chunk).cast("long"))
+    rows = placed.groupBy("image", "start").agg(F.sort_array(F.collect_list(item)).alias("_i"))
+    return rows.select("image", "start", F.col("_i.box").alias("boxes"), F.col("_i.label").alias("labels"), F.col("_i.score").alias("scores"))

@@ -40,14 +40,15 @@ def verify_images(
     metadata: DataFrame, dataset_path: str, subset_list: DataFrame | None = None, subset_key: str = "acceptedTaxonKey",
     resume_from: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Verified metadata (files of known size), and the corrupted paths; results to resume from are carried on."""
+    """Verified metadata (files of known size), and the corrupted paths; results to resume from are carried on. Files of an
+    unsupported format are in neither."""
     planned = filters.require_dataset_key(_subset(metadata, subset_list, subset_key))
     todo = planned
     if resume_from is not None:
         todo, _ = joins.resume_anti_join(planned, resume_from)
     # each file is decoded once, and the results outlive the deletion of broken files
     info = materialized(images.image_info(todo, dataset_path), "verification")
-    good = info.filter(F.col("file_size") > 0)
+    good = info.filter(F.col("file_size") > 0).drop("unsupported")
     results = good if resume_from is None else resume_from.select(*good.columns).unionByName(good)
     return planned.join(results, "image_path"), info.filter("corrupted").select("image_path")
 

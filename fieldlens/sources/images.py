@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.functions.names import decoded, path_part
+from fieldlens.functions.image_headers import probe
+from fieldlens.functions.names import path_part
+from fieldlens.session import io_tasks
 from fieldlens.sources import files
 
 
-def _relative(path: Column, root: str) -> Column:
+def relative(path: Column, root: str) -> Column:
     """Path below ``root``, whatever number of slashes the scheme came with."""
     bare = F.regexp_replace(path, "^file:/+", "/")
     base = root if "://" in root else "/" + root.removeprefix("file:").strip("/")
@@ -24,46 +27,55 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """Files below a folder: relative path, size and time. Contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return found.select(
-        _relative(F.col("path"), root).alias("image_path"), F.col("length").alias("file_size"),
+        relative(F.col("path"), root).alias("image_path"), F.col("length").alias("file_size"),
         F.col("modificationTime").alias("fetch_date"),
     )
 
 
-def scanned_images(images: DataFrame, root: str) -> DataFrame:
-    """Verification columns of an ``image`` scan, batch or stream; sizes are null where decoding failed."""
-    valid = F.col("image.height") >= 0
-    return images.select(
-        _relative(decoded("_metadata.file_path"), root).alias("image_path"),
-        F.when(valid, F.col("image.width")).alias("width"),
-        F.when(valid, F.col("image.height")).alias("height"),
-        F.when(valid, F.col("_metadata.file_modification_time")).alias("fetch_date"),
-        F.when(valid, F.col("_metadata.file_size")).alias("file_size"),
-        (~valid).alias("corrupted"),
-    )
+VERIFIED = "image_path string, width int, height int, fetch_date timestamp, file_size bigint, corrupted boolean, unsupported boolean"
+
+
+def _probed(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = files.open_fs(root.rstrip("/"))
+        for b in batches:
+            names = b.column("image_path").to_pylist()
+            rows = []
+            for name, info in zip(names, fs.get_file_info([f"{base}/{n}" for n in names]), strict=True):
+                if info.type != pafs.FileType.File:
+                    rows.append((name, None, None, None, None, False, False))
+                    continue
+                with fs.open_input_file(info.path) as f:
+                    width, height, state = probe(lambda at, n, f=f: _at(f, at, n), info.size)
+                known = state == "ok"
+                rows.append((name, width, height, info.mtime if known else None, info.size if known else None, state == "corrupted", state == "unsupported"))
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.bool_(), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            names = [c.split()[0] for c in VERIFIED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _at(f, at: int, n: int) -> bytes:
+    f.seek(at)
+    return f.read(n)
+
+
+def verified_paths(paths: DataFrame, root: str) -> DataFrame:
+    """VERIFIED columns of the images that are named, batch or stream. Files are opened one by one in tasks; a few ranges of each are
+    read, no pixels. Nothing but what is named is opened or listed."""
+    return paths.select("image_path").mapInArrow(_probed(root), VERIFIED)
 
 
 def image_info(planned: DataFrame, root: str) -> DataFrame:
     """Width, height, time, size and corrupted flag of planned images; all null for a missing file.
 
-    One decoding scan; only planned paths that no listing shows are looked at one by one, to tell empty files
-    (corrupted) from missing ones. Freeze the result before files change: it is read again on every use.
+    Files that are no image or not whole are corrupted; other image formats than JPEG, PNG, GIF, BMP, TIFF and WebP are
+    unsupported, which is no reason to delete them. Freeze the result before files change: it is read again on every use.
     """
-    spark = planned.sparkSession
-    scan = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(root)
-    seen = scanned_images(scan, root)
-    paths = planned.select("image_path").distinct()
-    hit = paths.join(seen, "image_path")
-    unlisted = paths.join(listing(spark, root).select("image_path"), "image_path", "left_anti")
-    base_uri = root.rstrip("/")
-
-    def stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = files.open_fs(base_uri)
-        for b in batches:
-            exists = [files.file_size(fs, f"{base}/{p}") is not None for p in b["image_path"]]
-            yield pd.DataFrame({"image_path": b["image_path"], "corrupted": exists})
-
-    rest = unlisted.mapInPandas(stat, "image_path string, corrupted boolean")
-    return hit.unionByName(rest, allowMissingColumns=True)
+    paths = planned.select("image_path").distinct().repartition(io_tasks(planned.sparkSession))
+    return verified_paths(paths, root)
 
 
 def export_verification(info: DataFrame) -> DataFrame:
