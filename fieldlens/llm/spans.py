@@ -153,11 +153,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
-    found = base.select("_id", "_th", "text").mapInArrow(_hashed, "_a long, _b long, _id long, _th long, _at long")
-    repeated = (
+    # written, because runs are counted first and then met with the repeated ones: texts are cut and hashed once
+    found = materialized(base.select("_id", "_th", "text").mapInArrow(_hashed, "_a long, _b long, _id long, _th long, _at long"), "runs")
+    repeated = materialized(
         found.groupBy("_a", "_b")
         .agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_first"))
-        .filter("_n > 1").select(F.col("_a").alias("_ra"), F.col("_b").alias("_rb"), "_first")
+        .filter("_n > 1").select(F.col("_a").alias("_ra"), F.col("_b").alias("_rb"), "_first"), "repeated-runs"
     )
     later = found.join(repeated, (F.col("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb"))).filter(
         F.struct("_id", "_th", "_at") != F.col("_first")
