@@ -112,45 +112,66 @@ def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
+def _alike(docs: list[tuple[list[tuple[int, ...]], list[int]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, labels, lengths) of documents with at least half as many lines as the longest beside them, so that arrays hold at most
+    twice the lines there are."""
+    docs = sorted(docs, key=lambda d: -len(d[0]))
+    while docs:
+        width = len(docs[0][0])
+        n = sum(2 * len(f) >= width for f, _ in docs)
+        x, y = np.zeros((n, width, FEATURES), dtype=np.float32), np.zeros((n, width), dtype=np.int8)
+        for i, (features, labels) in enumerate(docs[:n]):
+            for j, f in enumerate(features):
+                x[i, j, list(f)] = 1
+            y[i, : len(labels)] = labels
+        yield x, y, np.array([len(f) for f, _ in docs[:n]])
+        docs = docs[n:]
+
+
+def _expected(x: np.ndarray, lengths: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected features per label and expected transitions, by forward and backward sums. Documents come longest first
+    and advance together, one column of lines per step."""
+    n, width = x.shape[:2]
+    live = np.arange(width) < lengths[:, None]
+    rows = live.sum(axis=0)  # the live rows of a column are its first ones
+    e = x @ w.T
+    alpha, beta = np.zeros((n, width, 2)), np.zeros((n, width, 2))
+    alpha[:, 0] = e[:, 0]
+    for j in range(1, width):
+        k = rows[j]
+        before = alpha[:k, j - 1, :, None] + t
+        alpha[:k, j] = np.logaddexp(before[:, 0], before[:, 1]) + e[:k, j]
+    for j in range(width - 2, -1, -1):
+        k = rows[j + 1]
+        after = t + (e[:k, j + 1] + beta[:k, j + 1])[:, None, :]
+        beta[:k, j] = np.logaddexp(after[:, :, 0], after[:, :, 1])
+    last = alpha[np.arange(n), lengths - 1]
+    z = np.logaddexp(last[:, 0], last[:, 1])
+    p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
+    joint = np.exp(alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
+    return p.reshape(-1, 2).T @ x.reshape(-1, FEATURES), joint.sum(axis=(0, 1))
+
+
 def fit_crf(docs: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 150, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features per label and of the transitions, by gradient ascent on the conditional likelihood.
 
-    All sequences advance together, one column of lines per step.
+    Gradients are summed over groups of documents of like lengths, so memory follows the lines and not the number of
+    documents times the longest.
     """
-    docs = sorted(docs, key=lambda d: -len(d[0]))
-    width, n = max(len(f) for f, _ in docs), len(docs)
-    x = np.zeros((n, width, FEATURES))
-    y, live = np.zeros((n, width), dtype=int), np.zeros((n, width), dtype=bool)
-    for i, (features, labels) in enumerate(docs):
-        for j, f in enumerate(features):
-            x[i, j, list(f)] = 1
-        y[i, : len(labels)], live[i, : len(labels)] = labels, True
-    rows = live.sum(axis=0)  # longest first, so the live rows of a column are its first ones
+    groups = list(_alike(docs))
     w, t = np.zeros((2, FEATURES)), np.zeros((2, 2))
-    total = live.sum()
+    total = sum(int(lengths.sum()) for _, _, lengths in groups)
     first, speed = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
-    gold_w = np.stack([(x * ((y == k) & live)[:, :, None]).sum(axis=(0, 1)) for k in (0, 1)])
-    gold_t = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & live[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
+    gold_w, gold_t = np.zeros_like(w), np.zeros_like(t)
+    for x, y, lengths in groups:
+        live = np.arange(y.shape[1]) < lengths[:, None]
+        gold_w += np.stack([x[(y == k) & live].sum(axis=0, dtype=float) for k in (0, 1)])
+        gold_t += np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & live[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)])
     for step in range(1, rounds + 1):
-        e = x @ w.T
-        alpha, beta = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-        alpha[:, 0] = e[:, 0]
-        for j in range(1, width):
-            k = rows[j]
-            before = alpha[:k, j - 1, :, None] + t
-            alpha[:k, j] = np.logaddexp(before[:, 0], before[:, 1]) + e[:k, j]
-        for j in range(width - 2, -1, -1):
-            k = rows[j + 1]
-            after = t + (e[:k, j + 1] + beta[:k, j + 1])[:, None, :]
-            beta[:k, j] = np.logaddexp(after[:, :, 0], after[:, :, 1])
-        ends = np.array([len(f) - 1 for f, _ in docs])
-        last = alpha[np.arange(n), ends]
-        z = np.logaddexp(last[:, 0], last[:, 1])
-        p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-        joint = np.exp(alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
+        sums = [_expected(x, lengths, w, t) for x, _, lengths in groups]
         slopes = (
-            (gold_w - np.einsum("njk,njf->kf", p, x)) / total - decay * w,
-            (gold_t - joint.sum(axis=(0, 1))) / total - decay * t,
+            (gold_w - sum(s for s, _ in sums)) / total - decay * w,
+            (gold_t - sum(s for _, s in sums)) / total - decay * t,
         )
         for i, (value, slope) in enumerate(zip((w, t), slopes, strict=True)):
             first[i] = 0.9 * first[i] + 0.1 * slope
