@@ -17,8 +17,8 @@ def count_tokens(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, score for every row: the pieces of the best segmentation of the whole text, and its score.
 
     An Aho-Corasick automaton enumerates the vocabulary's matches by their end, the longest first. Per position only
-    the best score and its count are carried; at equal scores the earliest start stays, and an unknown character
-    counts its bytes. A part that no piece can leave is counted once per worker.
+    the best score and its count are carried; at equal scores the earliest start stays. A character outside the
+    vocabulary is a match of its own that counts its bytes. A part that no piece can leave is counted once per worker.
 
     Null and empty texts have no tokens and score 0. Rows repeated under one doc_id are counted each; a null doc_id
     is passed on; other columns are ignored; an empty table gives an empty result.

@@ -196,18 +196,29 @@ class Vocabulary:
         ids.reverse()
         return ids
 
+    def matches(self, word: str) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """Matches by the place of their last character, the longest first; a character that is no piece is a match of
+        its own, after the longer ones that end there. Its third number is not an id but its bytes, negative."""
+        singles, at = self.singles, 0
+        for last, match in self.automaton.iter(word):
+            while at < last:
+                if word[at] not in singles:
+                    yield at, (1, self.unknown_score, -len(word[at].encode()))
+                at += 1
+            yield last, match
+        for at in range(at, len(word)):
+            if word[at] not in singles:
+                yield at, (1, self.unknown_score, -len(word[at].encode()))
+
     def cost(self, word: str) -> tuple[int, int]:
         """Best score of a part and its number of pieces, without a path."""
         n = len(word)
-        if not self.singles.issuperset(word):
-            best, start, piece = self.forward(word, {0: 0}, n)
-            return best[n], len(self.trace(word, start, piece, n)[0])
         best, count = [0] + [LOWEST] * n, [0] * (n + 1)
-        for last, (length, score, _) in self.automaton.iter(word):
+        for last, (length, score, i) in self.automaton.iter(word) if self.singles.issuperset(word) else self.matches(word):
             end = last + 1
             total = best[end - length] + score
             if total > best[end]:
-                best[end], count[end] = total, count[end - length] + 1
+                best[end], count[end] = total, count[end - length] + (1 if i >= 0 else -i)
         return best[n], count[n]
 
     def costs(self, words: list[str]) -> list[tuple[int, int]]:
