@@ -244,12 +244,12 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
         spelt.groupBy("doc_id", *key, "_copies", F.col("_n").alias("n_chunks"))
         .agg(F.array_sort(F.collect_list(F.struct("_k", "_ids"))).alias("_parts"))
         .withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select("doc_id", "n_chunks", F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["_ids"])).alias("_ids"))
+        .select("doc_id", "n_chunks", F.transform("_parts", lambda p: p["_ids"]).alias("_ids"))
     )
 
     def unpack(batches):
         for b in batches:
-            raw = [x or b"" for x in b.column("_ids").to_pylist()]
+            raw = [b"".join(parts) for parts in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed(raw), b.column("n_chunks")], names=["doc_id", "ids", "n_chunks"])
 
     return one.unionByName(many.mapInArrow(unpack, out_schema))
