@@ -2,14 +2,17 @@
 
 1. Every text becomes its set of shingles (48-bit hashes), its size, a digest of the set and a count vector: the
    shingles are hashed into groups, and how many fall into each group is a point in as many dimensions.
-2. Sets that reach the threshold share one of their rarest shingles (as many as the threshold allows to differ, plus
-   one). Rare is judged by a sketch of fixed size over all sets, so that shingles of common passages come last. Sets
-   that share such a shingle form a block.
-3. In every block each set is compared with the block's first one. What is linked by then needs no more comparisons:
-   a block of near copies is done after one comparison per copy.
-4. What is left of a block, its sets in different components, is joined by an R-tree over the count vectors: the sum
-   of the coordinate-wise minima bounds the overlap of two sets, the sum over the upper corners bounds that of two
-   boxes. Pairs that survive are verified exactly.
+2. The R-tree is split by shingles: sets that reach the threshold share one of their rarest shingles (as many as the
+   threshold allows to differ, plus one), and the sets that share one form a block with a tree of its own. Rare is
+   judged by a sketch of fixed size over all sets, so that shingles of common passages come last.
+3. In the tree the sum of the coordinate-wise minima bounds the overlap of two sets, the sum over the upper corner of a
+   box that of a set and the box. One more coordinate is how many shingles a set has from the block's on, in the order
+   of rarity: in the block of the first shingle that two sets share, they share no more than the smaller such number.
+   Sets that have a template in common but too little else are ruled out by it at the root.
+4. First every set asks the tree of the sets before it in its block for the one of the highest bound; these pairs are
+   verified exactly. A block of near copies is one component after one comparison per copy.
+5. Then the trees of the blocks that still hold different components are searched for every pair across components that
+   is not ruled out, and these are verified too.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ GROUPS, CELLS = 256, 1 << 18
 SHARE = 4096
 #: Entries of a leaf of the R-tree, and boxes below a node.
 LEAF = 16
+#: Boxes of a level that a search for the nearest set goes into.
+BEAM = 4
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _TURNS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SHINGLE)]
@@ -93,8 +98,17 @@ PARTS = 16
 
 
 def point(tokens: np.ndarray) -> bytes | None:
-    """The count vector of a set: how many of its shingles fall into each group."""
-    return np.bincount(mixed(tokens) >> np.uint64(56), minlength=GROUPS).astype("<u4").tobytes() if len(tokens) else None
+    """The count vector of a set: how many of its shingles fall into each group; a byte a group where that is enough."""
+    if not len(tokens):
+        return None
+    counts = np.bincount(mixed(tokens) >> np.uint64(56), minlength=GROUPS)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def vectors(raw: list[bytes]) -> np.ndarray:
+    if all(len(r) == GROUPS for r in raw):
+        return np.frombuffer(b"".join(raw), dtype="u1").reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(r, dtype="u1" if len(r) == GROUPS else "<u4").astype("<u4") for r in raw])
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,17 +149,17 @@ def rarity(counted: DataFrame) -> np.ndarray:
 
 
 def rare_shingles(texts: DataFrame, cells: np.ndarray) -> DataFrame:
-    """t, salt, salts, sid: the rarest shingles of each set, as many as cannot all be missing in a linked set.
+    """t, salt, salts, sid, rest: the rarest shingles of each set, as many as cannot all be missing in a linked set.
 
-    The order (sketch, hash) is the same for all sets. ``salts`` says how many parts the block of a common shingle
-    is dealt to. A set that a partition has several times is reported once.
+    The order (sketch, hash) is the same for all sets and is what ``t`` holds; ``rest`` counts the shingles of the set
+    from ``t`` on. ``salts`` says how many parts the block of a common shingle is dealt to. A set that a partition has several times is reported once.
     """
     held = texts.sparkSession.sparkContext.broadcast(cells)
 
     def pick(batches):
         seen: set[int | None] = {None}
         for _, sets, _, found in _each_set(batches):
-            ts, counts, sids = [], [], []
+            ts, counts, sids, rests = [], [], [], []
             for sid, tokens in zip(found, sets, strict=True):
                 if sid in seen:
                     continue
@@ -153,19 +167,21 @@ def rare_shingles(texts: DataFrame, cells: np.ndarray) -> DataFrame:
                 n = len(tokens)
                 most = n + (-PERCENT * n // 100) + 1
                 common = held.value[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
-                order = (np.minimum(common, 65535).astype(np.uint64) << np.uint64(48)) | tokens
+                order = (np.minimum(common, 32767).astype(np.int64) << 48) | tokens.astype(np.int64)
                 chosen = np.argpartition(order, most - 1)[:most] if most < n else np.arange(n)
-                ts.append(tokens[chosen].astype(np.int64))
+                chosen = chosen[np.argsort(order[chosen])]
+                ts.append(order[chosen])
                 counts.append(common[chosen])
+                rests.append(n - np.arange(len(chosen)))
                 sids.append(np.full(len(chosen), sid, dtype=np.int64))
             join = lambda x: np.concatenate([*x, np.zeros(0, dtype=np.int64)])
             sid, salts = join(sids), np.maximum(1, -(-join(counts) // (16 * SHARE)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(join(ts)), pa.array((sid % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(sid)],
-                names=["t", "salt", "salts", "sid"],
+                [pa.array(join(ts)), pa.array((sid % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(sid), pa.array(join(rests).astype(np.int32))],
+                names=["t", "salt", "salts", "sid", "rest"],
             )
 
-    return texts.select("text").mapInArrow(pick, "t long, salt int, salts int, sid long")
+    return texts.select("text").mapInArrow(pick, "t long, salt int, salts int, sid long, rest int")
 
 
 def full_sets(base: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -197,9 +213,11 @@ def possible(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def bound(batches):
         for b in batches:
-            vec = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u4").reshape(-1, GROUPS) for c in ("v_a", "v_b")]
-            keep = CountTree.bound(vec[0], vec[1], b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            if b.num_rows:
+                vec = [vectors(b.column(c).to_pylist()) for c in ("v_a", "v_b")]
+                size = [b.column(c).to_numpy() for c in ("n_a", "n_b")]
+                keep = CountTree.margin(vec[0], vec[1], size[0], size[1], size[0], size[1]) >= 0
+                yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(bound, "a long, b long")
 
@@ -242,86 +260,136 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 class CountTree:
-    """R-tree over count vectors: leaves packed in the order of size and first coordinates, boxes of boxes above."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*(points[:, k] for k in range(3)), sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        high, low = self.points, self.sizes
-        self.levels = []
-        while len(high) > 1 or not self.levels:
+    """R-tree over count vectors, sizes and rests: leaves packed in the order of size, rest and first coordinates,
+    boxes of boxes above. A box keeps its upper corner, its smallest size and its largest rest."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rests: np.ndarray):
+        self.order = np.lexsort((*(points[:, k] for k in range(3)), rests, sizes))
+        self.levels = [(points[self.order], sizes[self.order], rests[self.order])]
+        while len(self.levels[-1][0]) > 1:
+            high, low, rest = self.levels[-1]
             edges = np.arange(0, len(high), LEAF)
-            high, low = np.maximum.reduceat(high, edges), np.minimum.reduceat(low, edges)
-            self.levels.append((high, low))
+            self.levels.append((np.maximum.reduceat(high, edges), np.minimum.reduceat(low, edges), np.maximum.reduceat(rest, edges)))
+
+    def _margins(self, level: int, who: np.ndarray, box: np.ndarray, points: np.ndarray, sizes: np.ndarray, rests: np.ndarray) -> np.ndarray:
+        high, low, rest = self.levels[level]
+        return self.margin(points[who], high[box], sizes[who], low[box], rests[who], rest[box])
+
+    def _below(self, level: int, who: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        child = (box[:, None] * LEAF + np.arange(LEAF)).ravel()
+        inside = child < len(self.levels[level - 1][0])
+        return np.repeat(who, LEAF)[inside], child[inside]
 
-    def near(self, points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (query, entry) whose bound 9 * sum(min) >= 4 * (size + size) for the threshold 80 %."""
-        step = 256
+    def near(self, points: np.ndarray, sizes: np.ndarray, rests: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (query, entry) that the bounds do not rule out."""
+        step = max(1, min(256, (1 << 20) // len(self.order)))
         for q in range(0, len(points), step):
-            p, s = points[q : q + step], sizes[q : q + step]
-            who, box = np.arange(len(p)), np.zeros(len(p), dtype=np.int64)
+            asked = points[q : q + step], sizes[q : q + step], rests[q : q + step]
+            who, box = np.arange(len(asked[0])), np.zeros(len(asked[0]), dtype=np.int64)
             for level in range(len(self.levels) - 1, -1, -1):
-                high, low = self.levels[level]
-                keep = self.bound(p[who], high[box], s[who], low[box])
+                keep = self._margins(level, who, box, *asked) >= 0
                 who, box = who[keep], box[keep]
-                below = len(self.levels[level - 1][0]) if level else len(self.points)
-                child = (box[:, None] * LEAF + np.arange(LEAF)).ravel()
-                who = np.repeat(who, LEAF)
-                inside = child < below
-                who, box = who[inside], child[inside]
-            keep = self.bound(p[who], self.points[box], s[who], self.sizes[box])
-            yield who[keep] + q, self.order[box[keep]]
+                if level:
+                    who, box = self._below(level, who, box)
+            yield who + q, self.order[box]
+
+    def nearest(self, points: np.ndarray, sizes: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs (query, entry), one a query at most: an entry of high bound, by descent into the BEAM best boxes.
+        In trees of at most BEAM * LEAF entries it is the highest. Queries that the bounds rule out have none."""
+        asks, entries = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for q in range(0, len(points), 256):
+            asked = points[q : q + 256], sizes[q : q + 256], rests[q : q + 256]
+            who, box = np.arange(len(asked[0])), np.zeros(len(asked[0]), dtype=np.int64)
+            for level in range(len(self.levels) - 1, -1, -1):
+                value = self._margins(level, who, box, *asked)
+                best = np.lexsort((box, -value, who))
+                best = best[value[best] >= 0]
+                place = np.arange(len(best)) - np.searchsorted(who[best], who[best])
+                best = best[place < (BEAM if level else 1)]
+                who, box = who[best], box[best]
+                if level:
+                    who, box = self._below(level, who, box)
+            asks.append(who + q), entries.append(self.order[box])
+        return np.concatenate(asks), np.concatenate(entries)
 
     @staticmethod
-    def bound(a: np.ndarray, high: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(a), dtype=bool)
-        for i in range(0, len(a), 1 << 12):
-            j = slice(i, i + (1 << 12))
+    def margin(a: np.ndarray, high: np.ndarray, size: np.ndarray, low: np.ndarray, rest: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """By how much the bound of the overlap passes what the threshold asks for; negative rules out."""
+        # intersection >= PERCENT / (100 + PERCENT) * both sizes
+        out = (100 + PERCENT) * np.minimum(rest, most).astype(np.int64) - PERCENT * (size + low)
+        still = np.flatnonzero(out >= 0)
+        for i in range(0, len(still), 1 << 12):
+            j = still[i : i + (1 << 12)]
             overlap = np.minimum(a[j], high[j]).sum(axis=1, dtype=np.int64)
-            # intersection >= PERCENT / (100 + PERCENT) * both sizes
-            keep[j] = (100 + PERCENT) * overlap >= PERCENT * (size[j] + low[j])
-        return keep
+            out[j] = np.minimum(out[j], (100 + PERCENT) * overlap - PERCENT * (size[j] + low[j]))
+        return out
 
 
-def tree_pairs(members: DataFrame) -> DataFrame:
-    """a, b: pairs of a block (t, salt) in different components that the R-tree cannot rule out; a is a query."""
-
-    def join_group(ask: np.ndarray, sid: np.ndarray, root: np.ndarray, size: np.ndarray, vec: np.ndarray):
-        tree = CountTree(vec, size)
-        asking = np.flatnonzero(ask)
-        for q, e in tree.near(vec[asking], size[asking]):
-            q = asking[q]
-            # of two queries one asks
-            keep = (root[q] != root[e]) & ((sid[q] > sid[e]) | ~ask[e])
-            yield sid[q[keep]], sid[e[keep]]
+def _each_block(members: DataFrame, columns: list[str], order: list, join_block) -> DataFrame:
+    """a, b: what ``join_block`` yields for the columns of every block (t, salt), each set once, in the given order."""
 
     def run(batches):
         held: list[tuple] = []
+        known: set[int] = set()
         at = None
 
         def close():
             if len(held) > 1:
-                ask, sid, root, size, vec = zip(*held, strict=True)
-                vec = np.frombuffer(b"".join(vec), dtype="<u4").reshape(len(held), GROUPS)
-                vec = vec.astype(np.uint16) if vec.max() < 1 << 16 else vec
-                for a, b in join_group(np.array(ask), np.array(sid), np.array(root), np.array(size), vec):
+                own = dict(zip(columns, zip(*held, strict=True), strict=True))
+                own = {c: vectors(v) if c == "vec" else np.array(v) for c, v in own.items()}
+                for a, b in join_block(own):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            held.clear()
+            held.clear(), known.clear()
 
         for batch in batches:
-            for t, salt, *row in zip(*(batch.column(c).to_pylist() for c in ("t", "salt", "ask", "sid", "root", "n", "vec")), strict=True):
+            for t, salt, *row in zip(*(batch.column(c).to_pylist() for c in ("t", "salt", *columns)), strict=True):
                 if (t, salt) != at:
                     yield from close()
                     at = (t, salt)
-                if not held or held[-1][1] != row[1]:
+                if row[0] not in known:
+                    known.add(row[0])
                     held.append(tuple(row))
         yield from close()
 
-    laid = members.repartition("t", "salt").sortWithinPartitions("t", "salt", "sid", F.desc("ask"))
+    laid = members.select("t", "salt", *columns).repartition("t", "salt").sortWithinPartitions("t", "salt", *order)
     return laid.mapInArrow(run, "a long, b long")
 
 
+def nearest_pairs(members: DataFrame) -> DataFrame:
+    """a, b: for every set of a block (t, salt) one before it, by ``_d`` and then ``sid``, that its R-tree finds near.
+
+    The trees hold the first 1, 2, 4, ... sets of the block, and each is asked by as many as it holds, the next ones.
+    """
+
+    def join_block(own: dict[str, np.ndarray]):
+        sid, size, rest, vec = own["sid"], own["n"], own["rest"], own["vec"]
+        held = 1
+        while held < len(sid):
+            tree, asking = CountTree(vec[:held], size[:held], rest[:held]), slice(held, 2 * held)
+            q, e = tree.nearest(vec[asking], size[asking], rest[asking])
+            yield sid[asking][q], sid[e]
+            held *= 2
+
+    return _each_block(members, ["sid", "n", "rest", "vec", "_d"], [F.desc("_d"), "sid"], join_block)
+
+
+def tree_pairs(members: DataFrame) -> DataFrame:
+    """a, b: pairs of a block (t, salt) in different components that the R-tree cannot rule out; a is a query."""
+
+    def join_block(own: dict[str, np.ndarray]):
+        sid, ask, root = own["sid"], own["ask"], own["root"]
+        tree = CountTree(own["vec"], own["n"], own["rest"])
+        asking = np.flatnonzero(ask)
+        for q, e in tree.near(own["vec"][asking], own["n"][asking], own["rest"][asking]):
+            q = asking[q]
+            # of two queries one asks
+            keep = (root[q] != root[e]) & ((sid[q] > sid[e]) | ~ask[e])
+            yield sid[q[keep]], sid[e[keep]]
+
+    return _each_block(members, ["sid", "ask", "root", "n", "rest", "vec"], ["sid", F.desc("ask")], join_block)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; component_id is the smallest doc_id reachable by links.
 
@@ -352,43 +420,46 @@ def _classes(docs: DataFrame) -> DataFrame:
     block = Window.partitionBy("t", "salt")
     shared = materialized(
         blocks.withColumn("_first", F.min("sid").over(block)).withColumn("_last", F.max("sid").over(block))
-        .filter((F.col("_first") < F.col("_last")) | (F.col("salts") > 1)).drop("_first", "_last"),
+        .withColumn("_n", F.count("*").over(block)).withColumn("_m", F.sum(F.shiftrightunsigned(F.xxhash64("sid"), 28)).over(block))
+        .filter((F.col("_first") < F.col("_last")) | (F.col("salts") > 1)),
         "blocks",
     )
-    points = materialized(rows.filter("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.max("vec").alias("vec")), "points")
-    # a star's centre is the set that shares most of its shingles, as the origin of edited copies does
-    common = shared.groupBy("sid").agg(F.count("*").alias("_d")).join(points.select("sid", "n"), "sid").select("sid", (F.col("_d") / F.col("n")).alias("_d"))
-    scored = shared.join(common, "sid")
-    centres = scored.groupBy("t", "salt").agg(F.max(F.struct("_d", "sid")).alias("_c"))
-    spokes = scored.join(centres, ["t", "salt"]).select(F.col("sid").alias("a"), F.col("_c.sid").alias("b"))
-    # the centres of the parts of a dealt block meet the block's first centre
-    parts = scored.filter("salts > 1").groupBy("t", "salt").agg(F.max(F.struct("_d", "sid")).alias("_c"))
+    # the sets that share most of their shingles come first, as the origin of edited copies does
+    points = rows.filter("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.max("vec").alias("vec"))
+    common = shared.groupBy("sid").agg(F.count("*").alias("_c"))
+    points = materialized(points.join(common, "sid").select("sid", "n", "vec", (F.col("_c") / F.col("n")).alias("_d")), "points")
+    # parts of blocks that look alike are asked once here; the search of what stays open takes all blocks
+    alike = shared.filter("sid = _first").groupBy("salt", "_first", "_last", "_n", "_m").agg(F.min("t").alias("t")).select("t", "salt")
+    asked = shared.filter("_first < _last").select("t", "salt", "sid", "rest").join(alike, ["t", "salt"], "left_semi")
+    found = nearest_pairs(asked.join(points, "sid"))
+    # the first sets of the parts of a dealt block meet the block's first one
+    parts = shared.filter("salts > 1").join(points.select("sid", "_d"), "sid").groupBy("t", "salt").agg(F.max(F.struct("_d", "sid")).alias("_c"))
     tops = parts.groupBy("t").agg(F.max("_c").alias("_top"))
-    stars = spokes.unionByName(parts.join(tops, "t").select(F.col("_c.sid").alias("a"), F.col("_top.sid").alias("b")))
-    stars = materialized(stars.filter("a <> b").distinct(), "stars")
-    near = materialized(possible(stars, points), "near-stars")
+    hubs = parts.join(tops, "t").select(F.col("_c.sid").alias("a"), F.col("_top.sid").alias("b")).filter("a <> b").distinct()
+    near = found.unionByName(possible(hubs, points)).distinct()
+    near = materialized(near, "nearest-pairs")
     ends = lambda p: p.select(F.col("a").alias("sid")).unionByName(p.select(F.col("b").alias("sid"))).distinct()
     sets = materialized(full_sets(base, rows, ends(near)), "sets")
     links = materialized(linked(near, sets), "links")
     roots = components(links)
 
     # blocks of more than two sets that are not yet one component
-    placed = shared.select("t", "salt", "salts", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    placed = shared.select("t", "salt", "salts", "sid", "rest").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "sid"))
     open_blocks = (
         placed.groupBy("t").agg(F.min("root").alias("main"), F.max("root").alias("_r"), F.count("*").alias("_n"),
                                 F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("_m"))
-        # blocks with the same members are one
+        # blocks with the same members are one, the first in the order of rarity, where their rests are largest
         .filter("main < _r and _n > 2").groupBy("_n", "_m").agg(F.min(F.struct("t", "main")).alias("_b")).select("_b.*")
     )
     members = placed.join(open_blocks, "t").join(points, "sid")
     # in a dealt block the sets outside its main component ask in every part
-    own = members.select("t", "salt", (F.col("root") != F.col("main")).alias("ask"), "sid", "root", "n", "vec")
+    own = members.select("t", "salt", (F.col("root") != F.col("main")).alias("ask"), "sid", "root", "n", "rest", "vec")
     guests = members.filter("salts > 1 and root <> main").select(
-        "t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("ask"), "sid", "root", "n", "vec"
+        "t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("ask"), "sid", "root", "n", "rest", "vec"
     )
     pairs = tree_pairs(own.unionByName(guests)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialized(pairs.join(tried, ["a", "b"], "left_anti"), "tree-pairs")
     others = materialized(full_sets(base, rows, ends(pairs).join(sets.select("sid"), "sid", "left_anti")), "sets")
     more = materialized(linked(pairs, sets.unionByName(others)), "links")

@@ -343,6 +343,55 @@ def test_chains_and_stars(spark, monkeypatch, share):
     assert got == classes(cases)
 
 
+def test_count_tree_bounds():
+    """The tree rules out no pair that reaches the threshold, and finds the entry of the highest bound in a small tree."""
+    rng = np.random.default_rng(11)
+    pool = np.unique(rng.integers(0, 1 << 48, 400, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool[: rng.integers(40, len(pool))], 30, replace=False)) for _ in range(40)]
+    sets += [np.sort(np.concatenate([s[: 30 - k], rng.choice(pool[-50:], k, replace=False)])) for k, s in enumerate(sets[:8])]
+    sets = [np.unique(s) for s in sets]
+    vec = ngram_join.vectors([ngram_join.point(s) for s in sets])
+    size = np.array([len(s) for s in sets])
+    tree = ngram_join.CountTree(vec, size, size)
+    kept = {(int(q), int(e)) for qs, es in tree.near(vec, size, size) for q, e in zip(qs, es, strict=True)}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert (i, j) in kept
+    bound = np.minimum(vec[:, None], vec[None]).sum(axis=2, dtype=np.int64)
+    value = 180 * np.minimum(bound, np.minimum(size[:, None], size[None])) - 80 * (size[:, None] + size[None])
+    q, e = tree.nearest(vec, size, size)
+    assert q.tolist() == np.flatnonzero(value.max(axis=1) >= 0).tolist()
+    assert (value[q, e] == value.max(axis=1)[q]).all()
+
+
+def test_wide_counts_and_mixed_widths():
+    few, many = np.arange(3, dtype=np.uint64), np.arange(200_000, dtype=np.uint64)
+    got = ngram_join.vectors([ngram_join.point(few), ngram_join.point(many)])
+    assert got.sum(axis=1).tolist() == [3, 200_000] and ngram_join.vectors([ngram_join.point(few)]).dtype == np.uint8
+
+
+def templated(n):
+    """14 words each, so 10 shingles, of which the first 8 are the same in all texts."""
+    common = " ".join(f"t{k}" for k in range(12))
+    return {d: f"{common} a{d} b{d}" for d in range(n)}
+
+
+def test_template_is_ruled_out_by_the_tree(spark, monkeypatch):
+    """Sets that share 8 of 10 shingles share a block but leave no pair to verify; near copies among them are found."""
+    tried = []
+    true_linked = ngram_join.linked
+    monkeypatch.setattr(ngram_join, "linked", lambda pairs, sets: tried.append(pairs.count()) or true_linked(pairs, sets))
+    cases = templated(300)
+    long = " ".join(f"l{k}" for k in range(60))
+    cases |= {1000: long, 1001: f"{long} more", 1002: f"less {long}"}
+    rows = spark.createDataFrame(list(cases.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(rows).collect()}
+    assert got == classes(cases)
+    assert sum(tried) <= 4
+
+
 def test_near_duplicates_odd_rows(odd):
     got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in ngram_join.near_duplicates(odd).collect()}
     assert {(1, False, 1), (2, False, 2), (3, False, 3), (5, True, 5), (6, True, 5), (7, True, 7), (None, True, None)} <= got
