@@ -61,7 +61,8 @@ def pareto_mix(
     inclusion probabilities p of a Pareto order sample: rows are ranked by (u/(1-u)) / (p/(1-p)) with u a hash of
     seed and doc_id, and taken in that order until the source's words come nearest to its target.
 
-    Null or blank text has size 0 and takes nothing. Rows repeated under one doc_id share their draw. A null
+    Null or blank text has size 0 and takes nothing. Rows repeated under one doc_id share their draw; equal
+    ranks are taken in the order of doc_id, size and a hash of the text. A null
     source is a source of its own. Budgets over two hundred percent give every row twice. An empty table gives
     an empty result. Other columns are ignored.
     """
@@ -125,7 +126,7 @@ def _drawn(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_percent:
     placed = drawn.join(pieces, F.col("source").eqNullSafe(F.col("_psrc")) & (F.col("_b") == F.col("_pb"))).drop("_psrc", "_pb")
     cut = (F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_words") > F.col("_need")) & (F.col("_b") >= 0)
     all_in = (F.col("_b") >= 0) & (F.col("_before") + F.col("_words") <= F.col("_need"))
-    inside = Window.partitionBy("source", "_b").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_b").orderBy("_rank", "doc_id", "size", "_th").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("_before") + F.sum("size").over(inside)
     # the row that the target falls into is taken if that is nearer than stopping before it
     near = (end - F.col("_need")) <= (F.col("_need") - (end - F.col("size")))
