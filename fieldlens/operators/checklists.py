@@ -31,6 +31,8 @@ def backbone_match(names: DataFrame, backbone: DataFrame, source: str, max_edits
 
     ``backbone``: name, usage_key, accepted_usage_key, family, genus, status, rank. Fuzzy candidates come from an
     equi-join on shared deletion variants and are verified with ``levenshtein``, so no block is paired in full.
+    Variants go by their hashes, with the names alone. Both joins of names are merged on disk: the planner takes a table
+    of names for as small as its file and does not see how many variants a name has, and would send them through the driver.
     Unmatched and higher-rank names keep -1 / NotAvail.
     """
     clean = F.lower(F.trim(F.col("search_species")))
@@ -38,19 +40,22 @@ def backbone_match(names: DataFrame, backbone: DataFrame, source: str, max_edits
     known = backbone.withColumn("_n", F.lower(F.trim(F.col("name"))))
     info = F.struct("usage_key", "accepted_usage_key", "name", "family", "genus", "status", "rank")
     one = known.groupBy("_n").agg(F.min(info).alias("hit"))
-    exact = asked.join(one, "_n", "left")
-    left = exact.filter(F.col("hit").isNull()).select("search_species", "_n")
-    tokens = left.select("search_species", "_n", F.explode(_deletions(F.col("_n"), max_edits)).alias("_v"))
-    offers = one.select(F.col("_n").alias("_m"), "hit", F.explode(_deletions(F.col("_n"), max_edits)).alias("_v"))
+    exact = asked.join(one.hint("merge"), "_n", "left")
+    left = exact.filter(F.col("hit").isNull()).select("_n").distinct()
+    hashes = F.transform(_deletions(F.col("_n"), max_edits), lambda v: F.xxhash64(v))
+    tokens = left.filter(F.col("_n").isNotNull()).select("_n", F.explode(hashes).alias("_v"))
+    offers = one.filter(F.col("_n").isNotNull()).select(F.col("_n").alias("_m"), F.explode(hashes).alias("_v"))
     distance = F.levenshtein("_n", "_m")
+    pairs = tokens.join(offers.hint("merge"), "_v").withColumn("_d", distance).filter(F.col("_d") <= max_edits)
     fuzzy = (
-        tokens.join(offers, "_v").withColumn("_d", distance).filter(F.col("_d") <= max_edits)
-        .groupBy("search_species").agg(F.min(F.struct("_d", "hit")).alias("_best"))
-        .select("search_species", F.col("_best.hit").alias("fuzzy_hit"))
+        pairs.select(F.col("_n").alias("_a"), "_m", "_d").distinct()
+        .join(one.hint("merge"), F.col("_m") == F.col("_n"))
+        .groupBy("_a").agg(F.min(F.struct("_d", "hit")).alias("_best"))
+        .select(F.col("_a").alias("_n"), F.col("_best.hit").alias("fuzzy_hit"))
     )
     genera = known.groupBy(F.lower("genus").alias("_g")).agg(F.min(F.struct("genus", "family")).alias("higher"))
     out = (
-        exact.join(fuzzy, "search_species", "left")
+        exact.join(fuzzy.hint("merge"), "_n", "left")
         .withColumn("_g", F.substring_index("_n", " ", 1)).join(genera, "_g", "left")
         .withColumn("match", F.coalesce("hit", "fuzzy_hit"))
     )
