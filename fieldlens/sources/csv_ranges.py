@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldlens.sources.ranges import RANGE_BYTES, Span, file_ranges, listed, planned, spans_of
 
@@ -115,9 +115,11 @@ def _chained(ranges: DataFrame) -> list[tuple]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records that begin in a range, header and empty lines left out."""
+    """Records that begin in a range, header and empty lines left out, with the partition columns of their file."""
     for b in batches:
-        for span, inside, breaks in zip(spans_of(b), b.column("inside").to_pylist(), b.column("breaks").to_pylist(), strict=True):
+        folders = b.schema.names[6:]
+        for i, (span, inside, breaks) in enumerate(zip(spans_of(b), b.column("inside").to_pylist(), b.column("breaks").to_pylist(), strict=True)):
+            named = [b.column(c)[i] for c in folders]
             # lines inside a value and none pending: the record is another range's
             header, pending = span.start == 0, []
             for lines, own in lines_of(span):
@@ -155,7 +157,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     whole, header = whole.slice(1), False
                 whole = whole.filter(pc.greater(pc.binary_length(whole), 0))
                 if len(whole):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(span.path), len(whole)), whole], names=["path", "value"])
+                    yield pa.RecordBatch.from_arrays([*(pa.repeat(v, len(whole)) for v in named), whole], names=[*folders, "value"])
                 if over:
                     break
 
@@ -165,14 +167,18 @@ def csv_scan(spark: SparkSession, path: str, schema: str, range_bytes: int = RAN
     many tasks. A value that does not fit its column, a row of another width and a quoted value without an end fail
     the job; empty lines are left out, partition columns come from the folder names."""
     found = listed(spark, path)
-    folders = [c for c in found.columns if c not in ("path", "length")]
-    rows = _chained(file_ranges(found.select("path", "length"), range_bytes))
-    records = planned(spark, rows, "path string, start long, end long, length long, inside boolean, breaks string", range_bytes)
-    records = records.mapInArrow(_records, "path string, value string")
     given = StructType.fromDDL(schema)
-    own = StructType([f for f in given if f.name not in folders])
-    parsed = F.from_csv("value", own.toDDL(), {"escape": '"', "mode": "FAILFAST", "header": "false", "lineSep": "\n"}).alias("_row")
+    folders = [f for f in given if f.name in set(found.columns) - {"path", "length"}]
+    own = StructType([f for f in given if f not in folders])
+    rows = _chained(file_ranges(found.select("path", "length"), range_bytes))
     if folders:
-        named = found.select(F.col("path").alias("_file"), *folders).withColumns({f.name: F.col(f"`{f.name}`").cast(f.dataType) for f in given if f.name in folders})
-        records = records.join(named, F.col("path") == F.col("_file"))
-    return records.select(*folders, parsed).select(*[F.col(f"`{f.name}`") if f.name in folders else F.col("_row")[f.name].alias(f.name) for f in given])
+        # a range brings the columns of its folder along: in a join the planner would take the records for as small as the list of ranges
+        named = {r[0]: r[1:] for r in found.select("path", *[F.col(f"`{f.name}`").cast(f.dataType) for f in folders]).collect()}
+        rows = [(*r, *named[r[0]]) for r in rows]
+    plan = StructType.fromDDL("path string, start long, end long, length long, inside boolean, breaks string")
+    carried = [StructField(f"_folder{i}", f.dataType) for i, f in enumerate(folders)]
+    records = planned(spark, rows, StructType([*plan, *carried]), range_bytes)
+    records = records.mapInArrow(_records, StructType([*carried, StructField("value", StringType())]))
+    parsed = F.from_csv("value", own.toDDL(), {"escape": '"', "mode": "FAILFAST", "header": "false", "lineSep": "\n"}).alias("_row")
+    place = {f.name: F.col(c.name) for f, c in zip(folders, carried, strict=True)}
+    return records.select(*place.values(), parsed).select(*[place.get(f.name, F.col("_row")[f.name]).alias(f.name) for f in given])

@@ -172,7 +172,8 @@ def crop_records_scan(spark: SparkSession, path: str) -> DataFrame:
     """
     records = json_elements(spark, path).select("path", "position", F.parse_json("value").alias("v"))
     first = records.groupBy("path").agg(F.min("position").alias("_first")).withColumnRenamed("path", "_path")
-    records = records.join(first, F.col("path") == F.col("_path"))
+    # merged: the planner would take the records for as small as the list of their ranges
+    records = records.join(first.hint("merge"), F.col("path") == F.col("_path"))
     truth = F.variant_get("v", "$.ground_truth", "array<string>")
     wrong = F.raise_error(F.concat(F.lit("malformed crop record in "), "path")).cast("array<string>")
     ranked = F.variant_get("v", "$.moth_classification", "variant")

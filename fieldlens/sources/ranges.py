@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldlens.session import io_tasks
 from fieldlens.sources import files
@@ -72,7 +73,7 @@ def spans_of(batch: pa.RecordBatch) -> list[Span]:
     return [Span(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "length")), strict=True)]
 
 
-def planned(spark: SparkSession, rows: list[tuple], schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def planned(spark: SparkSession, rows: list[tuple], schema: str | StructType, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Ranges (path, start, end, length first) with what is known of them, dealt like ``file_ranges``."""
     total = sum(r[2] - r[1] for r in rows)
     return spark.createDataFrame(rows, schema).repartition(max(io_tasks(spark), -(-total // range_bytes)))

@@ -230,3 +230,13 @@ def test_label_files_list_taxonomy_first_and_stay_empty_without_labels(spark, tm
     assert sorted(map(tuple, texts.collect())) == [("p", "2 c\n1 b\n0 a\n"), ("q", "")]
     assert documents.yolo_label_sink(texts, str(tmp_path / "labels")) == 2
     assert sorted(map(tuple, documents.text_files_scan(texts.select("image"), str(tmp_path / "labels"), ".txt").collect())) == [("p", "2 c\n1 b\n0 a\n"), ("q", "")]
+
+
+def test_records_of_partitioned_csv_meet_no_join(spark, tmp_path):
+    """A join by path would take the records for as small as the list of ranges and send them through the driver."""
+    rows = [(i, f"t{i}", i % 2 == 0, None if i % 3 else f"p{i % 6}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string, start boolean, place string")
+    tables.write_table(df.repartition(2), str(tmp_path / "t"), "csv", partition_by=["start", "place"])
+    back = csv_ranges.csv_scan(spark, str(tmp_path / "t"), "id int, text string, start boolean, place string", range_bytes=100)
+    assert sorted((tuple(r) for r in back.collect()), key=repr) == sorted(rows, key=repr)
+    assert "Join" not in back._jdf.queryExecution().optimizedPlan().toString()
