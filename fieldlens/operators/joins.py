@@ -27,6 +27,12 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
 
 
+def hot_values(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
+    """The same keys as a list, at most one for every ``hot_rows`` rows. They are known before a plan is made, so without such
+    keys nothing is shuffled for them."""
+    return [r[0] for r in hot_keys(df.select(key).dropna(), key, hot_rows).collect()]
+
+
 def _positions(key: str, order: Sequence[Column]) -> Column:
     return (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
 
@@ -48,9 +54,12 @@ def cumcount(
 ) -> DataFrame:
     """0-based position of each image within its occurrence, in file order."""
     order, bucket = _scan_order(order, bucket)
-    hot = hot_keys(media, key, hot_rows)
-    rest = media.dropna(subset=[key]).join(hot, key, "left_anti").withColumn("cnt", _positions(key, order))
-    return rest.unionByName(_piecewise(media.join(hot, key, "left_semi"), key, order, bucket))
+    hot = hot_values(media, key, hot_rows)
+    keyed = media.dropna(subset=[key])
+    if not hot:
+        return keyed.withColumn("cnt", _positions(key, order))
+    rest = keyed.filter(~F.col(key).isin(hot)).withColumn("cnt", _positions(key, order))
+    return rest.unionByName(_piecewise(keyed.filter(F.col(key).isin(hot)), key, order, bucket))
 
 
 def indexed_images(
@@ -61,14 +70,16 @@ def indexed_images(
 
     The join and the window share one shuffle on the occurrence id. Occurrences with very many images take
     the other branch: their few occurrence rows meet the images without a shuffle and positions are made in
-    pieces. Without such occurrences that branch is empty at run time and is dropped.
+    pieces. They are counted first; without any, there is no such branch.
     """
     order, bucket = _scan_order(order, bucket)
-    hot = hot_keys(media, "coreid", hot_rows)
-    rest = occurrence_media_join(media.join(hot, "coreid", "left_anti"), occurrence)
+    hot = hot_values(media, "coreid", hot_rows)
+    if not hot:
+        return occurrence_media_join(media, occurrence).withColumn("cnt", _positions("coreid", order))
+    rest = occurrence_media_join(media.filter(~F.col("coreid").isin(hot)), occurrence)
     rest = rest.withColumn("cnt", _positions("coreid", order))
-    crowded = _piecewise(media.join(hot, "coreid", "left_semi"), "coreid", order, bucket)
-    owners = occurrence.join(hot, occurrence["id"] == hot["coreid"], "left_semi")
+    crowded = _piecewise(media.filter(F.col("coreid").isin(hot)), "coreid", order, bucket)
+    owners = occurrence.filter(F.col("id").isin(hot))
     return rest.unionByName(occurrence_media_join(crowded, owners))
 
 

@@ -245,9 +245,9 @@ class Tables:
     def images(self) -> DataFrame:
         from fieldlens.plans.dataset import image_metadata
 
-        if self._images is not None:
-            return self._images
-        return image_metadata(self.media, self.occurrence)
+        if self._images is None:
+            self._images = image_metadata(self.media, self.occurrence)
+        return self._images
 
     def written(self, *columns: str) -> DataFrame:
         """These columns of the image metadata, written once, for queries that read them several times."""

@@ -56,3 +56,14 @@ def test_cumcount_hot_and_ordinary_keys_agree(spark):
         assert joins.cumcount(media, **args).select("coreid", "ord", "cnt").exceptAll(want).isEmpty()
         both = joins.indexed_images(media, occ, **args)
         assert both.count() == 900 and both.select("coreid", "ord", "cnt").exceptAll(want).isEmpty()
+
+
+def test_no_branch_for_hot_keys_without_any(spark, tmp_path):
+    path = str(tmp_path / "media")
+    spark.range(300).select((F.col("id") % 90).alias("coreid"), F.md5(F.col("id").cast("string")).alias("ord")).write.parquet(path)
+    media = spark.read.parquet(path)
+    occ = media.select(F.col("coreid").alias("id")).distinct()
+    args = dict(order=[F.col("ord")], bucket=hash_bucket(F.col("ord"), 1))
+    for df, scans in ((joins.indexed_images(media, occ, **args), 2), (joins.cumcount(media, **args), 1)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == scans and "LeftAnti" not in plan and "LeftSemi" not in plan and df.count() == 300
