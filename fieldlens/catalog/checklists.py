@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldlens.catalog import query
 from fieldlens.operators import checklists, joins, setops, stats
 from fieldlens.plans.fixtures import with_views
+from fieldlens.session import materialized
 
 IMAGES = with_views("images")
 CHECK = with_views("checklist")
@@ -323,11 +324,11 @@ def checklist_accuracy_join(t):
     key = "acceptedTaxonKey"
     status = F.when(F.col("speciesKey") % 6 == 5, "SYNONYM").otherwise("ACCEPTED").alias("taxonomicStatus")
     listed = t.taxonomy.select(F.col("speciesKey").alias(key), "species", status)
-    # one pass over the images gives the three per-taxon tables
-    per = t.images.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    # one pass over the images gives the three per-taxon tables; written, or each of them would make its own
+    per = materialized(t.images.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.count("*").alias("all"), F.count_if(F.col("l_suppkey") % 5 == 0).alias("test"),
         F.count_if((F.col("l_suppkey") % 5 == 1) & (F.col("l_suppkey") % 3 == 0)).alias("correct"),
-        F.count_if(F.col("l_suppkey") % 5 == 1).alias("total"))
+        F.count_if(F.col("l_suppkey") % 5 == 1).alias("total")), "per-taxon")
     traps = t.crop_labels.filter("taxon_rank = 'SPECIES'").groupBy(F.col("label").alias("species")).agg(
         F.count_if(F.col("crop_id") % 3 == 0).alias("top1"), F.count_if(F.col("crop_id") % 3 < 2).alias("top5"),
         F.count("*").alias("total"))
