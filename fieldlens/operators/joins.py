@@ -84,10 +84,10 @@ def indexed_images(
 
 
 def first_per_occurrence(df: DataFrame, order: str = "row_order", key: str = "coreid") -> DataFrame:
-    """First row of each occurrence in row order, which tells the rows of an occurrence apart. Only key and order are
-    aggregated, combined map-side; whole rows are taken by a join."""
-    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
-    return df.join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_first")), "left_semi")
+    """First row of each occurrence in row order, which tells the rows of an occurrence apart. Every map task cuts its rows
+    to the first of an occurrence; rows that lie together by occurrence already are not shuffled."""
+    place = F.rank().over(Window.partitionBy(key).orderBy(F.col(order)))
+    return df.filter(F.col(order).isNotNull()).withColumn("_first", place).filter("_first = 1").drop("_first")
 
 
 def verified_join(verified: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -89,3 +89,12 @@ def test_backbone_two_edits(spark):
                                   "name string, usage_key long, accepted_usage_key long, family string, genus string, status string, rank string")
     got = {r["search_species"]: r["match_type"] for r in checklists.backbone_match(asked, known, "s", max_edits=2).collect()}
     assert got == {"abcdef gh": "EXACT", "abxdxf gh": "FUZZY", "zzz": "NONE"}
+
+
+def test_first_rows_keep_ties_and_need_no_shuffle_where_occurrences_lie_together(spark):
+    df = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "a", 3), (None, "z", 4), (None, "y", 5), (2, None, 6), (3, None, 7), (3, "c", 8)],
+                               "coreid long, ord string, id int")
+    assert sorted(r.id for r in joins.first_per_occurrence(df, "ord").collect()) == [2, 3, 5, 8]
+    first = joins.first_per_occurrence(df.repartition(3, "coreid"), "ord")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
