@@ -81,11 +81,12 @@ def checklist_filter(
 def drop_all_duplicates(df: DataFrame, column: str = "identifier") -> DataFrame:
     """Rows whose value is unique in the table; nulls equal each other.
 
-    Only the column is aggregated, so the counts stay in a hash aggregate and copies of one value are combined before
-    the shuffle; rows lose their repeated values in an anti join, whose skewed side adaptive execution can split.
+    One aggregate reads the rows once: a value that is counted once has one row, which is the first one. Copies of a value
+    are combined before the shuffle.
     """
-    repeated = df.groupBy(F.col(column).alias("__repeated")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__repeated")
-    return df.join(repeated, F.col(column).eqNullSafe(F.col("__repeated")), "left_anti")
+    others = [c for c in df.columns if c != column]
+    once = df.groupBy(f"`{column}`").agg(F.count("*").alias("__n"), *[F.first(f"`{c}`").alias(c) for c in others]).filter("__n = 1")
+    return once.select(*[f"`{c}`" for c in df.columns])
 
 
 def clean_funnel(
@@ -95,7 +96,11 @@ def clean_funnel(
     thumb_size: int | None = 64,
     adults_only: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cleaned rows, and (step, rule, removed) counts in rule order, from one count of the URLs."""
+    """Cleaned rows, and (step, rule, removed) counts in rule order, from one aggregate of the rows by URL.
+
+    A URL that is counted once has one row, which is the first one. Rows that another rule removes keep no other columns,
+    and copies of one URL are combined before the shuffle.
+    """
     key = "identifier"
     rest = F.lit(None).cast("string")
     if adults_only:
@@ -105,20 +110,20 @@ def clean_funnel(
     if ignored is not None:
         rest = F.when(is_ignored_dataset(ignored), F.lit("dataset")).otherwise(rest)
     if remove_duplicate_url:
-        # the URLs alone are counted; whole rows meet the repeated ones in a join, whose skewed side can be split
-        repeated = df.groupBy(F.col(key).alias("_url")).agg(F.count("*").alias("_n")).filter("_n > 1")
-        failed = F.when(F.col("_n").isNotNull(), F.lit("duplicate_url")).otherwise(rest)
-        marked = df.join(repeated, F.col(key).eqNullSafe(F.col("_url")), "left").withColumn("_rule", failed).drop("_url", "_n")
+        ruled = df.withColumn("_rest", rest)
+        kept = [F.first(F.when(F.col("_rest").isNull(), F.col(f"`{c}`"))).alias(c) for c in df.columns if c != key]
+        by_url = ruled.groupBy(key).agg(F.count("*").alias("_n"), F.first("_rest").alias("_rest"), *kept)
+        marked = by_url.withColumn("_rule", F.when(F.col("_n") > 1, F.lit("duplicate_url")).otherwise(F.col("_rest")))
     else:
-        marked = df.withColumn("_rule", rest)
-    clean = marked.filter(F.col("_rule").isNull()).drop("_rule")
+        marked = df.withColumn("_rule", rest).withColumn("_n", F.lit(1).cast("long"))
+    clean = marked.filter(F.col("_rule").isNull()).select(*[f"`{c}`" for c in df.columns])
     step = (
         F.when(F.col("_rule") == "duplicate_url", 1).when(F.col("_rule") == "dataset", 2)
         .when(F.col("_rule") == "thumbnail", 3).when(F.col("_rule") == "non_adult", 4).otherwise(5)
     )
     report = (
         marked.groupBy(step.alias("step"), F.coalesce("_rule", F.lit("kept")).alias("rule"))
-        .agg(F.count("*").alias("images"))
+        .agg(F.sum("_n").alias("images"))
     )
     return clean, report
 

@@ -91,6 +91,24 @@ def test_backbone_two_edits(spark):
     assert got == {"abcdef gh": "EXACT", "abxdxf gh": "FUZZY", "zzz": "NONE"}
 
 
+def test_funnel_and_duplicates_read_their_rows_once(spark, tmp_path):
+    # a null URL is a value, rows that another rule removes are counted under it
+    data = [(1, "a", "d", 100, "Adult"), (2, "a", "d", 100, "Adult"), (3, None, "d", 100, "Adult"), (4, "b", "x", 100, "Adult"),
+            (5, "c", "d", 1, "Adult"), (6, "e", None, None, None), (7, "f", None, None, "Imago")]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(data, "id int, identifier string, datasetKey string, width int, lifeStage string").write.parquet(path)
+    df = spark.read.parquet(path).withColumn("height", F.lit(90)).withColumn("life_stage_prediction", F.lit(None).cast("string"))
+    clean, report = filters.clean_funnel(df, ignored="x")
+    assert sorted(map(tuple, clean.collect()), key=repr) == [(3, None, "d", 100, "Adult", 90, None), (7, "f", None, None, "Imago", 90, None)]
+    assert clean.columns == df.columns
+    assert {tuple(r) for r in report.collect()} == {(1, "duplicate_url", 2), (2, "dataset", 1), (3, "thumbnail", 1), (4, "non_adult", 1), (5, "kept", 2)}
+    alone = filters.drop_all_duplicates(df.select("id", "identifier"))
+    assert sorted(r.id for r in alone.collect()) == [3, 4, 5, 6, 7]
+    for one in (clean, report, alone):
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 1 and "Join" not in plan
+
+
 def test_first_rows_keep_ties_and_need_no_shuffle_where_occurrences_lie_together(spark):
     df = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "a", 3), (None, "z", 4), (None, "y", 5), (2, None, 6), (3, None, 7), (3, "c", 8)],
                                "coreid long, ord string, id int")
