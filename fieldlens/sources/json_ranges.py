@@ -70,6 +70,16 @@ def _escaping(span: Span) -> bool:
         size *= 16
 
 
+#: Bytes that are looked at in one go: the arrays made of them take some fifty times as much.
+PIECE_BYTES = 256 << 10
+
+
+def _pieces(span: Span, ahead: bool = False) -> Iterator[tuple[int, bytes]]:
+    for at, data in span.chunks(ahead):
+        for cut in range(0, len(data), PIECE_BYTES):
+            yield at + cut, data[cut : cut + PIECE_BYTES]
+
+
 INDEX = "path string, start long, end long, length long, quotes long, first int, depths array<long>, counts array<array<struct<depth:long,byte:int,n:long>>>"
 
 
@@ -79,7 +89,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for span in spans_of(b):
             escaping, quotes, depths, counts, first = _escaping(span), 0, [0, 0], [Counter(), Counter()], None
-            for _, data in span.chunks():
+            for _, data in _pieces(span):
                 seen = noted(data, escaping)
                 if span.start == 0 and first is None and data.strip(_BLANK):
                     first = data.strip(_BLANK)[0]
@@ -150,7 +160,7 @@ def _owned(span: Span, level: int, inside: bool, depth: int, number: int, first:
     # the parts of an element that is open, and whether a bracket stands in front of it
     parts: list[bytes] | None = [] if level == 0 and span.start == 0 else None
     opened, escaping, quotes = False, _escaping(span), int(inside)
-    for at, data in span.chunks(ahead=True):
+    for at, data in _pieces(span, ahead=True):
         if at >= span.end and parts is None:
             return
         seen = noted(data, escaping)
