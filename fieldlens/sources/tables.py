@@ -19,18 +19,18 @@ def archive_member(spark: SparkSession, path: str, fields: dict[str, str], row_o
     lines = spark.read.text(path)
     header = lines.first()[0]
     names = header.split("\t")
-    parts = F.split("value", "\t", -1)
-    cols = [F.expr(f"try_cast(nullif(_p[{names.index(n)}], '') AS {t})").alias(n) for n, t in fields.items()]
+    # no more is split off a line than the last named field; a line that ends before a field has none
+    parts = F.split("value", "\t", max(names.index(n) for n in fields) + 2)
+    cols = [F.expr(f"try_cast(nullif(get(_p, {names.index(n)}), '') AS {t})").alias(n) for n, t in fields.items()]
     order = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
     rows = lines.select("value", order.alias("row_order")) if row_order else lines
-    kept = rows.filter((F.col("value") != header) & (F.col("value") != "")).withColumn("_p", parts)
-    padded = kept.filter(F.size("_p") <= len(names)).withColumn(
-        "_p", F.concat("_p", F.array_repeat(F.lit(""), F.lit(len(names)) - F.size("_p")))
-    )
-    return padded.select(*cols, *(["row_order"] if row_order else []))
+    # tabs are counted without a split, which would be made once for the filter and once for the columns
+    tabs = F.octet_length("value") - F.octet_length(F.replace("value", F.lit("\t"), F.lit("")))
+    kept = rows.filter((F.col("value") != header) & (F.col("value") != "") & (tabs < len(names))).withColumn("_p", parts)
+    return kept.select(*cols, *(["row_order"] if row_order else []))
 
 
 def dwca_scan(spark: SparkSession, multimedia: str, occurrence: str) -> tuple[DataFrame, DataFrame]:
