@@ -96,8 +96,8 @@ def stratified_split(t):
 SELECT image_path, acceptedTaxonKey, split FROM k_ WHERE acceptedTaxonKey IN
  (SELECT acceptedTaxonKey FROM k_ WHERE split = 'train' GROUP BY acceptedTaxonKey HAVING count(*) >= 30)""")
 def split_caps(t):
-    # the split is a table of its own in the pipeline: written once, then capped
-    return sampling.split_caps(materialized(_split(t), "split"), "acceptedTaxonKey", 200, 30).select("image_path", "acceptedTaxonKey", "split")
+    # the split is a table of its own in the pipeline: written once, then capped; the row order has served its purpose
+    return sampling.split_caps(materialized(_split(t).drop("ord"), "split"), "acceptedTaxonKey", 200, 30).select("image_path", "acceptedTaxonKey", "split")
 
 
 @query("taxon_sample", with_views("crop_labels") + """
