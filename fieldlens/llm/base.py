@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,27 @@ def slices(data: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield start, len(data)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about ``limit`` bytes of a string or binary column each; no row is cut. After every
+    batch the worker hands back what it has freed, so that it does not keep the most that any batch has needed."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = held = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, held + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start, held = stop, int(ends[stop - 1])
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # other C libraries than glibc have none
+        trim(0)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads the bits of a polynomial hash."""
     h = h ^ (h >> np.uint64(30))

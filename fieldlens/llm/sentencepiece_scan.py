@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from fieldlens.llm.base import prepare, row_key
+from fieldlens.llm.base import give_back, pieces, prepare, row_key
 from fieldlens.llm.unigram import Vocabulary, marked, model_bytes, vocabulary
 
 #: Characters of a chunk; texts up to this length are one chunk.
@@ -143,13 +143,13 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
 
     def spell_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(held.value)
-        for b in batches:
+        for b in pieces(batches):
             raw = [b"".join(map(vocab.word_ids, vocab.words(marked(t or "")))) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed(raw), pa.array(np.ones(len(raw), dtype=np.int64))], names=["doc_id", "ids", "n_chunks"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks with the characters that their last piece may reach."""
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for doc_id, key, th, text, copies in zip(*(b.column(c).to_pylist() for c in ("doc_id", "_id", "_th", "text", "_copies")), strict=True):
                 s = marked(text)
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
             yield r, Chunk(vocab, r["_text"], r["_look"])
 
     def matrices(batches):
-        for b in batches:
+        for b in pieces(batches, "_text"):
             out = [(r["_id"], r["_th"], r["_k"], c.matrix().tobytes()) for r, c in stretches(b)]
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=[*key, "_k", "m"])
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
         return advance(g.drop(columns=["v"]), "_k", np.frombuffer(g["v"].iloc[0]))[["_id", "_th", "_k", "v"]]
 
     def sources(batches):
-        for b in batches:
+        for b in pieces(batches, "_text"):
             out = [(r["_id"], r["_th"], r["_k"], c.origins(np.frombuffer(r["v"])).tobytes()) for r, c in stretches(b)]
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=[*key, "_k", "o"])
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
         return g.drop(columns=["o"]).assign(leaving=leaving, came=came)
 
     def spell(batches):
-        for b in batches:
+        for b in pieces(batches, "_text"):
             out = [(*(r[n] for n in names[:6]), c.ids(np.frombuffer(r["v"]), r["came"], r["leaving"])) for r, c in stretches(b)]
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=[*names[:6], "_ids"])
@@ -251,6 +251,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int =
         for b in batches:
             raw = [b"".join(parts) for parts in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed(raw), b.column("n_chunks")], names=["doc_id", "ids", "n_chunks"])
+            give_back()
 
     return one.unionByName(many.mapInArrow(unpack, out_schema))
 
